@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, mixing, quality_rules, sharding, simhash, warc
+from millrace.llm import bpe, mixing, quality_rules, sharding, simhash, suffix_dedup, warc
 from millrace.registry import Registry
 
 REGISTRY = Registry()
@@ -31,6 +31,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+@REGISTRY.query("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 @REGISTRY.query("op5_mixing", mixing.SQL)
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
