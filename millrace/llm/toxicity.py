@@ -1,13 +1,15 @@
 """Toxicity scores from subword bags: averaged n-gram embeddings into a linear softmax, trained jointly in numpy.
 
-A word's vector is the mean of the vectors of its character n-grams (3 to 5
+A word's vector is the mean of the vectors of its character n-grams (3 to 6
 characters with word borders, and the whole word), so a misspelling shares most
 of a known word's vectors. N-grams are hashed into ``BUCKETS`` rows. Rows that
 the training labels do not tell apart from chance are zero rows: a row needs a
 document-level z of ``LEAST_Z`` between its share of toxic documents and the
 base rate. A document's vector is the mean of its words' vectors, each weighted
 by the share of its n-grams that are not zero rows, over those weights plus
-one for a learnt background; the softmax over it gives the score.
+one for a learnt background; the softmax over it gives the score. At the end
+the softmax's bias is moved so that the score at which training rows part best
+(by F1) is ``THRESHOLD``.
 
 Labels are learnt only from rows with crc32(doc_id as text) mod 3 other than 1,
 at most ``MAX_LABELLED`` of them (the smallest by a seeded hash of doc_id). The
@@ -36,7 +38,7 @@ from millrace.functions.shipping import map_arrow
 MAX_LABELLED = 8000
 BUCKETS = 1 << 17
 DIM = 8
-LEAST_Z = 4.5
+LEAST_Z = 3.0
 LEAST_ROWS = 64
 STEPS = 150
 SEED = 11
@@ -53,7 +55,7 @@ def fold(doc_id: Column) -> Column:
 def rows_of(word: str) -> list[int]:
     """Rows of a word's n-grams, each once."""
     shown = f"<{word}>"
-    grams = {shown[i : i + n] for n in (3, 4, 5) for i in range(len(shown) - n + 1)} | {shown}
+    grams = {shown[i : i + n] for n in (3, 4, 5, 6) for i in range(len(shown) - n + 1)} | {shown}
     return sorted({zlib.crc32(g.encode()) % BUCKETS for g in grams})
 
 
@@ -146,7 +148,20 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.99 * second[i] + 0.01 * g * g
             params[i] = params[i] - 0.05 * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-8)
-    return Model(model.place, params[0], params[1], params[2], float(params[3][0]))
+    vectors, background, w, b = params
+    mean = np.stack([np.bincount(doc, share * vectors[row, d], len(y)) for d in range(DIM)], axis=1) + background / weight[:, None]
+    return Model(model.place, vectors, background, w, float(b[0]) + shift(mean @ w + b, y))
+
+
+def shift(logits: np.ndarray, y: np.ndarray) -> float:
+    """What to add to the logits so that the threshold falls in the middle of the gap that parts the classes with the best F1."""
+    order = np.argsort(-logits, kind="stable")
+    z, hits = logits[order], np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    f1[:-1][z[:-1] == z[1:]] = 0
+    best = int(f1.argmax())
+    below = z[best + 1] if best + 1 < len(z) else z[best] - 2
+    return float(np.log(THRESHOLD / (1 - THRESHOLD)) - (z[best] + below) / 2)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
