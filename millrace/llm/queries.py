@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, html_text, mixing, quality_rules, sharding, simhash, suffix_dedup, toxicity, warc
+from millrace.llm import bpe, hamming, html_text, mixing, quality_rules, sharding, simhash, suffix_dedup, toxicity, warc
 from millrace.registry import Registry
 
 REGISTRY = Registry()
@@ -36,6 +36,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
 
 
+@REGISTRY.query("op4_topk", hamming.SQL)
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.top_k(table(spark, sf_dir, "embeddings"))
+
+
 @REGISTRY.query("op5_mixing", mixing.SQL)
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
