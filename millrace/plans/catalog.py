@@ -1,7 +1,10 @@
-"""Queries over rendered legacy sources and over the driver's tables."""
+"""All queries over rendered legacy sources and over the driver's tables."""
 
 from __future__ import annotations
 
+from millrace.plans import cics
 from millrace.registry import Registry
 
 REGISTRY = Registry()
+for part in (cics,):
+    REGISTRY.include(part.REGISTRY)

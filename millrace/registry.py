@@ -29,6 +29,11 @@ class Registry:
 
         return put
 
+    def include(self, other: Registry) -> None:
+        """Takes over all of ``other``'s queries."""
+        for name, fn in other.queries().items():
+            self.query(name, other.sql().get(name))(fn)
+
     def queries(self) -> dict[str, QueryFn]:
         return dict(self._queries)
 
