@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import cics
+from millrace.plans import cics, cobol
 from millrace.registry import Registry
 
 REGISTRY = Registry()
-for part in (cics,):
+for part in (cics, cobol):
     REGISTRY.include(part.REGISTRY)
