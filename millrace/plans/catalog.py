@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import cics, cobol
+from millrace.plans import cics, cobol, estate
 from millrace.registry import Registry
 
 REGISTRY = Registry()
-for part in (cics, cobol):
+for part in (cics, cobol, estate):
     REGISTRY.include(part.REGISTRY)
