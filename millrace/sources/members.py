@@ -68,3 +68,34 @@ def looks_like_jcl(source_name: Column, text: Column) -> Column:
     lines = F.filter(F.transform(deck_lines(text), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("//*"))
     suffix = F.element_at(F.split(F.lower(source_name), "\\."), -1).isin("jcl", "prc", "proc")
     return suffix | F.coalesce(F.get(lines, 0).rlike("(?i)^//\\S*\\s+(JOB|PROC)\\b"), F.lit(False))
+
+
+#: File endings by type of member.
+ENDINGS = {
+    "cobol": ".cbl", "copybook": ".cpy", "ddl": ".sql", "cntl": ".txt", "bms": ".bms", "csd": ".txt", "jcl": ".jcl", "proc": ".prc", "asm": ".asm",
+    "pli": ".pli", "c": ".c", "macro": ".mac", "easytrieve": ".ezt",
+}
+
+
+def saved_name(member: Column, kind: Column) -> Column:
+    """The file name under which a member of a type is kept: what is unsafe in a name becomes an underscore."""
+    ending = F.create_map([F.lit(x) for pair in ENDINGS.items() for x in pair])[canonical_type(kind)]
+    return F.concat(F.regexp_replace(member, "(?U)[^\\p{Alnum}$#@._-]", "_"), F.coalesce(ending, F.lit(".txt")))
+
+
+def type_disagreement(asked: Column, detected: Column) -> Column:
+    """Whether a member was asked for as one type and reported as another; null where either is unknown."""
+    return canonical_type(asked) != canonical_type(detected)
+
+
+def external_statements(spark: SparkSession, path: str, rendered: DataFrame) -> DataFrame:
+    """(member, line, kind) of the statements in an external parser's XML trees.
+
+    ``rendered`` is (source, rendered_line, member, line): which physical line
+    of which member stands on each line of the text that was parsed; ``source``
+    is the tree's file stem.
+    """
+    schema = "`_from-line` int, `_kind` string"
+    trees = spark.read.format("xml").option("rowTag", "statement").schema(schema).load(path)
+    trees = trees.select(F.regexp_extract("_metadata.file_name", "^(.*?)\\.[^.]*$", 1).alias("source"), F.col("`_from-line`").alias("rendered_line"), F.col("_kind").alias("kind"))
+    return trees.filter("rendered_line IS NOT NULL").join(rendered, ["source", "rendered_line"]).select("member", "line", "kind")

@@ -61,3 +61,19 @@ def test_library_rank_and_missing_copybooks(spark):
     assert sorted((r["copy_member"], r["status"], r["source"]) for r in cobol.copybooks(programs).collect()) == [("A", "expanded", "l1"), ("B", "missing", None)]
     assert cobol.program_units(programs).count() == 2
     assert cobol.bundles(programs).filter(F.col("bundle").endswith("}\n")).count() == 2
+
+
+def test_names_and_types_of_saved_members(spark):
+    from millrace.sources.members import saved_name, type_disagreement
+
+    df = spark.createDataFrame([("A/B C", "HLASM", "asm"), ("É$1", None, "cobol"), ("X", "copybook", "cbl")], "m string, t string, d string")
+    rows = df.select(saved_name(F.col("m"), F.col("t")).alias("n"), type_disagreement(F.col("t"), F.col("d")).alias("differs")).collect()
+    assert [tuple(r) for r in rows] == [("A_B_C.asm", False), ("É$1.txt", None), ("X.cpy", True)]
+
+
+def test_statements_of_an_external_parser(spark, tmp_path):
+    from millrace.sources.members import external_statements
+
+    (tmp_path / "P.xml").write_text('<tree><statement from-line="2" kind="move"><x/></statement><statement kind="none"/><statement from-line="3" kind="stop"/></tree>')
+    rendered = spark.createDataFrame([("P", 2, "BOOK", 7), ("P", 3, "P", 9)], "source string, rendered_line int, member string, line int")
+    assert sorted(map(tuple, external_statements(spark, str(tmp_path), rendered).collect())) == [("BOOK", 7, "move"), ("P", 9, "stop")]
