@@ -142,7 +142,8 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The kept rows of ``docs`` with all their columns; frequent lines are gone from ``text``, and ``n_chars`` follows."""
-    df = scored(docs).filter("kept")
+    # a predicate over a plain projection would be evaluated below it, with the words split anew at each of their uses
+    df = scored(docs).withColumn("row", F.monotonically_increasing_id()).filter((F.col("row") >= 0) & F.col("kept"))
     new = {"text": F.when(F.col("d.text").isNotNull(), F.col("left_text")), "n_chars": F.length("left_text").cast("long")}
     return df.select(*[(new[c] if c in new else F.col("d")[c]).alias(c) for c in docs.columns])
 
