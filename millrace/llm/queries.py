@@ -31,7 +31,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
-@REGISTRY.query("op3_suffix_dedup")
+@REGISTRY.query("op3_suffix_dedup", suffix_dedup.SQL)
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
 

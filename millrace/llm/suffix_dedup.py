@@ -541,3 +541,19 @@ def dedup(docs: DataFrame) -> DataFrame:
     new = {"text": F.when(F.col("d.text").isNotNull(), F.col("left")), "n_chars": F.length("left").cast("long")}
     return rows.select(*[(new[c] if c in new else F.col("d")[c]).alias(c) for c in docs.columns])
 
+
+#: Windows are told apart by DuckDB's 64-bit hash.
+SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT doc_id, b, n, unnest(range(0, n)) AS i FROM d),
+h AS (SELECT doc_id, i, hex(b[i + 1:i + 1]) AS byte, CASE WHEN i + 100 <= n THEN hash(b[i + 1:i + 100]) END AS h FROM p),
+w AS (SELECT doc_id, i, byte, (h IS NOT NULL AND row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1)::INTEGER AS again FROM h),
+g AS (SELECT doc_id, i, byte, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM w),
+e AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS opens FROM g),
+r AS (
+  SELECT doc_id, sum(gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, coalesce(string_agg(byte, '' ORDER BY i) FILTER (WHERE gone = 0), '') AS kept
+  FROM e GROUP BY doc_id)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(r.n_removed, 0)::BIGINT AS n_removed, coalesce(r.n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(r.kept, ''))) AS kept_sha256
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+"""
