@@ -70,7 +70,9 @@ SELECT count(*)::BIGINT AS statements, (count(*) FILTER (WHERE n > 72))::BIGINT
 def margin_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     decks = cics.with_prelude(part_deck(spark, sf_dir))
     found = cics.deck(decks).agg(F.count("*").alias("statements"), F.count_if(F.exists("damaged", lambda x: x.startswith("cut at"))).alias("cut"))
-    return found.crossJoin(cics.deck_flags(decks).agg(F.count_if(F.col("flag") == "past-margin").alias("flagged")))  # one row each
+    flagged = cics.deck_flags(decks).agg(F.count_if(F.col("flag") == "past-margin").alias("flagged"))
+    both = found.unionByName(flagged, allowMissingColumns=True)
+    return both.agg(*[F.sum(c).alias(c) for c in both.columns])
 
 
 @REGISTRY.query(
@@ -113,7 +115,10 @@ def window_equals_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = ranges[0].groupBy("member").agg(F.max("statement").alias("statement"))
     parts = shown(ranges[0].join(last, ["member", "statement"], "left_anti")).unionByName(shown(ranges[1])).distinct()
     every = shown(cics.deck(whole))
-    return every.join(parts, ["member", "line", "s"], "left_anti").agg(F.count("*").alias("missing")).crossJoin(parts.join(every, ["member", "line", "s"], "left_anti").agg(F.count("*").alias("added")))
+    keys = ["member", "line", "s"]
+    lost = every.join(parts, keys, "left_anti").agg(F.count("*").alias("missing"))
+    both = lost.unionByName(parts.join(every, keys, "left_anti").agg(F.count("*").alias("added")), allowMissingColumns=True)
+    return both.agg(*[F.sum(c).alias(c) for c in both.columns])
 
 
 @REGISTRY.query(
