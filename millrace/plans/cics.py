@@ -111,8 +111,8 @@ def window_equals_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = cics.with_prelude(supplier_deck(spark, sf_dir))
     shown = lambda df: df.select("member", "line", F.to_json(F.struct("verb", "operands", "damaged")).alias("s"))
     ranges = [cics.deck(whole.select("member", "prelude", F.slice("lines", a, n).alias("lines")), first_line=a) for a, n in ((1, 101), (98, 400))]
-    # the last statement of a range may go on behind it
-    last = ranges[0].groupBy("member").agg(F.max("statement").alias("statement"))
+    # the last statement of a range may go on behind it, where the member does
+    last = ranges[0].groupBy("member").agg(F.max("statement").alias("statement")).join(whole.filter(F.size("lines") > 101).select("member"), "member")
     parts = shown(ranges[0].join(last, ["member", "statement"], "left_anti")).unionByName(shown(ranges[1])).distinct()
     every = shown(cics.deck(whole))
     keys = ["member", "line", "s"]
