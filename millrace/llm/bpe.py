@@ -78,14 +78,19 @@ class Bpe:
         for token, i in vocab.items():
             self.automaton.add_word(token, (len(token), i))
         self.automaton.make_automaton()
-        self.bytes = byte_characters()
+        self.bytes = dict(enumerate(byte_characters()))
         splits = [x["pattern"]["Regex"] for x in doc["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"]
         self.words = regex.compile(splits[0]).findall
         self.specials = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.spaces = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
         whole = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer = whole.normalizer, whole.pre_tokenizer
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops what was remembered about texts."""
         self.pair_memo: dict[int, bool] = {}
+        self.word_memo: dict[str, list[int]] = {}
         self.old_pieces: dict[str, tuple[int, list[int], str, str]] = {}
         self.new_pieces: dict[str, tuple[int, list[int], str, str]] = {}
 
@@ -122,14 +127,22 @@ class Bpe:
         n = len(shown)
         # last[i]: the last token of the prefix of i characters, begin[i]: where it begins
         last, begin = [-1] * (n + 1), [0] * (n + 1)
+        known = self.pair_memo.get
         for end, (size, token) in self.automaton.iter(shown + MARK):
-            i = end + 1
-            start = i - size
-            if i == n:  # the last character carries the mark: no token ends before it
+            start = end + 1 - size
+            if end + 1 == n:  # the last character carries the mark: no token ends before it
+                continue
+            i = end + 1 if end < n else n
+            if last[i] >= 0:
                 continue
-            i = min(i, n)
-            if last[i] < 0 and (not start or last[start] >= 0 and self.fits(last[start], token)):
-                last[i], begin[i] = token, start
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                fit = known(before << 20 | token)
+                if not (self.fits(before, token) if fit is None else fit):
+                    continue
+            last[i], begin[i] = token, start
         ids, at = [], n
         while at:
             ids.append(last[at])
@@ -137,21 +150,33 @@ class Bpe:
         ids.reverse()
         return ids
 
+    def shown(self, word: str) -> str:
+        return word.encode().decode("latin-1").translate(self.bytes)
+
     def shown_words(self, text: str) -> list[str]:
         """The words of a text without special tokens, as the characters that stand for their bytes.
 
         Below U+0250 this is spelled out here; elsewhere the Unicode version of
         the tokenizers library decides what is a letter and what its lower case.
         """
-        if text.isascii() or max(text) < FIRST_UNUSUAL:
-            shown = self.bytes
-            text = unicodedata.normalize("NFC", text).lower()
-            return ["".join([shown[b] for b in word.encode()]) for word in self.words(text)]
+        if text.isascii():
+            words = self.words(text.lower())
+            return words if text.isprintable() else [self.shown(word) for word in words]
+        if max(text) < FIRST_UNUSUAL:
+            return [self.shown(word) for word in self.words(unicodedata.normalize("NFC", text).lower())]
         return [x for x, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(text))]
 
     def ids_of(self, text: str) -> list[int]:
         """Ids of a text without special tokens."""
-        return [i for word in self.shown_words(text) for i in self.word_ids(word)]
+        out: list[int] = []
+        for word in self.shown_words(text):
+            ids = self.word_memo.get(word)
+            if ids is None:
+                if len(self.word_memo) >= MEMO:
+                    self.word_memo.clear()
+                ids = self.word_memo[word] = self.word_ids(word)
+            out += ids
+        return out
 
     def piece(self, text: str) -> tuple[int, list[int], str, str]:
         """For a piece between white space: the count of ids, the ids, the ids as text, the decoded text."""
@@ -189,20 +214,24 @@ def loaded(path: str) -> Bpe:
 def _encoded(path: str, with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bpe = loaded(path)
     for batch in batches:
-        counts, ids, digests, decoded = [], [], [], []
-        for text in batch.column("text"):
-            found = bpe.pieces(text.as_py() or "")
-            counts.append(sum([x[0] for x in found]))
-            digests.append(hashlib.sha256(" ".join([x[2] for x in found]).encode()).hexdigest())
-            decoded.append(hashlib.sha256(" ".join([x[3] for x in found]).encode()).hexdigest())
-            if with_ids:
-                ids.append([i for x in found for i in x[1]])
-        rest = [i for i, name in enumerate(batch.schema.names) if name != "text"]
-        arrays = [*(batch.column(i) for i in rest), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
-        names = [*(batch.schema.names[i] for i in rest), "n_tokens", "ids_sha256", "decoded_sha256"]
+        yield _encoded_batch(bpe, with_ids, batch)
+
+
+def _encoded_batch(bpe: Bpe, with_ids: bool, batch: pa.RecordBatch) -> pa.RecordBatch:
+    counts, ids, digests, decoded = [], [], [], []
+    for text in batch.column("text"):
+        found = bpe.pieces(text.as_py() or "")
+        counts.append(sum([x[0] for x in found]))
+        digests.append(hashlib.sha256(" ".join([x[2] for x in found]).encode()).hexdigest())
+        decoded.append(hashlib.sha256(" ".join([x[3] for x in found]).encode()).hexdigest())
         if with_ids:
-            arrays, names = [*arrays, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
-        yield pa.RecordBatch.from_arrays(arrays, names)
+            ids.append([i for x in found for i in x[1]])
+    rest = [i for i, name in enumerate(batch.schema.names) if name != "text"]
+    arrays = [*(batch.column(i) for i in rest), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+    names = [*(batch.schema.names[i] for i in rest), "n_tokens", "ids_sha256", "decoded_sha256"]
+    if with_ids:
+        arrays, names = [*arrays, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
+    return pa.RecordBatch.from_arrays(arrays, names)
 
 
 def encode(rows: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
