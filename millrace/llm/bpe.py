@@ -213,8 +213,11 @@ def loaded(path: str) -> Bpe:
 
 def _encoded(path: str, with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bpe = loaded(path)
-    for batch in batches:
-        yield _encoded_batch(bpe, with_ids, batch)
+    try:
+        for batch in batches:
+            yield _encoded_batch(bpe, with_ids, batch)
+    finally:
+        bpe.forget()  # the worker may go on to other stages
 
 
 def _encoded_batch(bpe: Bpe, with_ids: bool, batch: pa.RecordBatch) -> pa.RecordBatch:
