@@ -24,6 +24,7 @@ both classes among the labels every score is 0; extra columns are not read.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
@@ -98,18 +99,32 @@ class Model:
         return (weight, weight * weight * float((self.vectors[known] @ self.w).mean())) if known else (0.0, 0.0)
 
 
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... for size[0] places, then the same of the next."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 def train(texts: list[str | None], labels: list[int]) -> Model:
     """The model of labelled texts; full-batch Adam with a fixed seed and number of steps."""
     y = np.array(labels, float)
     if not 0 < y.sum() < len(y):
         return Model()
-    bags = [{w: None for w in words_of(t)} for t in texts]
-    rows = {w: rows_of(w) for bag in bags for w in bag}
+    # words as numbers: each text's in order, each word's rows side by side in one array
+    number: dict[str, int] = {}
+    words = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
+    grams, begin = array("i"), np.zeros(len(number) + 1, np.int64)
+    for w, i in number.items():
+        grams.extend(rows_of(w))
+        begin[i + 1] = len(grams)
+    number.clear()
+    grams = np.frombuffer(grams, np.int32) if len(grams) else np.zeros(0, np.int32)
+    size = np.diff(begin)
     df, hits = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for bag, toxic in zip(bags, labels, strict=True):
-        found = list({r for w in bag for r in rows[w]})
-        df[found] += 1
-        hits[found] += toxic
+    for found, toxic in zip(words, labels, strict=True):
+        of = np.unique(found)
+        rows = np.unique(grams[spread(begin[of], size[of])])
+        df[rows] += 1
+        hits[rows] += toxic
     rate = y.mean()
     z = (hits - df * rate) / np.sqrt(df * rate * (1 - rate) + 1)
     chosen = np.flatnonzero(z >= LEAST_Z)
@@ -117,20 +132,21 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
         chosen = np.sort(np.argsort(-z, kind="stable")[:LEAST_ROWS])
     rng = np.random.default_rng(SEED)
     model = Model({int(r): i for i, r in enumerate(chosen)}, rng.normal(0, 0.1, (len(chosen), DIM)), rng.normal(0, 0.1, DIM), rng.normal(0, 1, DIM), -1.0)
-    known = {w: model.bag(w) for w in rows}
-    known = {w: x for w, x in known.items() if x[1]}
-    # entries (document, row, share): a word spreads weight * weight / known over its known rows, which is weight times its mean vector
-    doc, row, share, weight = [], [], [], np.ones(len(y))
-    for i, text in enumerate(texts):
-        for w in words_of(text):
-            if w in known:
-                a, at = known[w]
-                weight[i] += a
-                doc += [i] * len(at)
-                row += at
-                share += [a * a / len(at)] * len(at)
-    doc, row, share = np.array(doc, int), np.array(row, int), np.array(share)
-    share = share / weight[doc] if len(doc) else share
+    # the known rows of each word; a word spreads weight * weight / known over them, which is weight times its mean vector
+    place = np.full(BUCKETS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    places = place[grams]
+    known = np.concatenate(([0], np.cumsum(places >= 0)))[begin]
+    places, first, known = places[places >= 0], known[:-1], np.diff(known)
+    part = known / np.maximum(size, 1)
+    used = np.concatenate(words)
+    doc = np.repeat(np.arange(len(y)), [len(x) for x in words])
+    weight = 1 + np.bincount(doc, part[used], len(y))
+    held = known[used] > 0
+    used, doc = used[held], doc[held]
+    share = np.repeat(part[used] ** 2 / known[used] / weight[doc], known[used])
+    row = places[spread(first[used], known[used])]
+    doc = np.repeat(doc, known[used])
     params = [model.vectors, model.background, model.w, np.array([model.b])]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, STEPS + 1):
