@@ -23,8 +23,6 @@ both classes among the labels every score is 0; extra columns are not read.
 
 from __future__ import annotations
 
-import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
@@ -45,6 +43,10 @@ STEPS = 150
 SEED = 11
 THRESHOLD = 0.7
 MEMO = 300_000
+#: Words hashed together, texts scored together.
+WORDS_AT_ONCE = 20_000
+TEXTS_AT_ONCE = 500
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 EDGES = ".,;:!?\"'()[]{}…#%&|<>-"
 
 
@@ -53,11 +55,31 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(3))
 
 
-def rows_of(word: str) -> list[int]:
-    """Rows of a word's n-grams, each once."""
-    shown = f"<{word}>"
-    grams = {shown[i : i + n] for n in (3, 4, 5, 6) for i in range(len(shown) - n + 1)} | {shown}
-    return sorted({zlib.crc32(g.encode()) % BUCKETS for g in grams})
+def gram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, word) of every n-gram of the words, word by word: a polynomial hash of its code points."""
+    shown = [f"<{w}>" for w in words]
+    size = np.fromiter(map(len, shown), np.int64, len(shown))
+    code = np.frombuffer("".join(shown).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    word = np.repeat(np.arange(len(words)), size)
+    end = np.cumsum(size)
+    left = end[word] - np.arange(len(code))  # characters of the word from each on
+    hashed, n = code.copy(), 1
+    keys, owners = [], []
+    while n < 6:
+        n += 1
+        hashed = hashed[:-1] * MULTIPLIER + code[n - 1 :]
+        if n >= 3:
+            at = np.flatnonzero(left[: len(hashed)] >= n)
+            keys.append(hashed[at] + np.uint64(n))
+            owners.append(word[at])
+    power = np.multiply.accumulate(np.full(int(size.max(initial=1)), MULTIPLIER))
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(code * power[size[word] - left])))
+    keys.append(sums[end] - sums[end - size])
+    owners.append(np.arange(len(words)))
+    key, owner = np.concatenate(keys), np.concatenate(owners)
+    key = (key ^ (key >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    order = np.argsort(owner, kind="stable")
+    return ((key >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int32)[order], owner[order]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -74,29 +96,50 @@ class Model:
     w: np.ndarray = field(default_factory=lambda: np.zeros(DIM))
     b: float = -30.0
 
-    def bag(self, word: str) -> tuple[float, list[int]]:
-        """The word's weight and the places of its rows among the vectors."""
-        rows = rows_of(word)
-        known = [self.place[r] for r in rows if r in self.place]
-        return len(known) / len(rows), known
-
-    def score(self, text: str | None, memo: dict[str, tuple[float, float]]) -> float:
-        """Class 1's share. The softmax is linear, so each word adds one number to its sum and one to its weight."""
-        total, weight = float(self.background @ self.w), 1.0
-        for word in (text or "").lower().split():
-            found = memo.get(word)
-            if found is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                found = memo[word] = self.share(word.strip(EDGES))
-            if found[0]:
-                weight += found[0]
-                total += found[1]
-        return float(1 / (1 + np.exp(-np.clip(total / weight + self.b, -30, 30))))
-
-    def share(self, word: str) -> tuple[float, float]:
-        weight, known = self.bag(word) if word else (0.0, [])
-        return (weight, weight * weight * float((self.vectors[known] @ self.w).mean())) if known else (0.0, 0.0)
+    def scores(self, texts: list[str | None], memo: Memo) -> np.ndarray:
+        """Class 1's share for each text. The softmax is linear, so each word adds one number to its sum and one to its weight."""
+        split = [(t or "").lower().split() for t in texts]
+        memo.learn(self, set().union(*split))
+        known = memo.known
+        total, weight = np.full(len(texts), float(self.background @ self.w)), np.ones(len(texts))
+        for i, words in enumerate(split):
+            found = [known[w] for w in words if w in known]
+            if found:
+                a, x = zip(*found, strict=True)
+                weight[i] += sum(a)
+                total[i] += sum(x)
+        return 1 / (1 + np.exp(-np.clip(total / weight + self.b, -30, 30)))
+
+    def score(self, text: str | None) -> float:
+        return float(self.scores([text], Memo())[0])
+
+
+class Memo:
+    """Words met so far: those that have known rows with (weight, addend), the others only as met."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, tuple[float, float]] = {}
+        self.met: set[str] = set()
+
+    def learn(self, model: Model, words: set[str]) -> None:
+        if len(self.met) >= MEMO:
+            self.known, self.met = {}, set()
+        new = list(words - self.met)
+        self.met.update(new)
+        value, is_known = np.zeros(BUCKETS), np.zeros(BUCKETS, bool)
+        rows = np.fromiter(model.place, np.int64, len(model.place))
+        value[rows], is_known[rows] = (model.vectors @ model.w)[[*model.place.values()]], True
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            part = new[at : at + WORDS_AT_ONCE]
+            row, word = gram_rows([w.strip(EDGES) for w in part])
+            size = np.bincount(word, minlength=len(part))
+            held = is_known[row]
+            count = np.bincount(word[held], minlength=len(part))
+            sums = np.bincount(word[held], value[row[held]], len(part))
+            for i in np.flatnonzero(count).tolist():
+                if part[i].strip(EDGES):
+                    weight = count[i] / size[i]
+                    self.known[part[i]] = (weight, weight * weight * sums[i] / count[i])
 
 
 def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -112,13 +155,13 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
     # words as numbers: each text's in order, each word's rows side by side in one array
     number: dict[str, int] = {}
     words = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
-    grams, begin = array("i"), np.zeros(len(number) + 1, np.int64)
-    for w, i in number.items():
-        grams.extend(rows_of(w))
-        begin[i + 1] = len(grams)
+    vocabulary = list(number)
     number.clear()
-    grams = np.frombuffer(grams, np.int32) if len(grams) else np.zeros(0, np.int32)
-    size = np.diff(begin)
+    parts = [gram_rows(vocabulary[at : at + WORDS_AT_ONCE]) for at in range(0, len(vocabulary), WORDS_AT_ONCE)]
+    grams = np.concatenate([row for row, _ in parts] or [np.zeros(0, np.int32)])
+    size = np.concatenate([np.bincount(word) for _, word in parts] or [np.zeros(0, np.int64)])
+    begin = np.concatenate(([0], np.cumsum(size)))
+    del parts, vocabulary
     df, hits = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for found, toxic in zip(words, labels, strict=True):
         of = np.unique(found)
@@ -191,9 +234,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def _scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo: dict[str, tuple[float, float]] = {}
+    memo = Memo()
     for batch in batches:
-        scores = [model.score(x.as_py(), memo) for x in batch.column("text")]
+        texts = batch.column("text").to_pylist()
+        parts = [model.scores(texts[at : at + TEXTS_AT_ONCE], memo) for at in range(0, len(texts), TEXTS_AT_ONCE)]
+        scores = np.concatenate([np.zeros(0), *parts])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
 

@@ -31,24 +31,24 @@ def model():
 
 def test_held_out_accuracy(model):
     held = texts(300, 2)
-    found = np.array([model.score(t, {}) >= tx.THRESHOLD for t, _ in held])
+    found = np.array([model.score(t) >= tx.THRESHOLD for t, _ in held])
     assert (found == np.array([y for _, y in held], bool)).mean() > 0.97
 
 
 def test_unseen_misspellings_share_vectors(model):
     plain = " ".join(PLAIN)
-    assert model.score(plain + " blorkheadz blorkheadd blorkheads", {}) > model.score(plain + " quietly roadside summers", {}) + 0.3
+    assert model.score(plain + " blorkheadz blorkheadd blorkheads") > model.score(plain + " quietly roadside summers") + 0.3
 
 
 def test_training_is_repeatable(model):
     known = texts(500, 1)
     again = tx.train([t for t, _ in known], [y for _, y in known])
-    assert again.score("a blorkhead walks", {}) == model.score("a blorkhead walks", {})
+    assert again.score("a blorkhead walks") == model.score("a blorkhead walks")
 
 
 def test_one_class_or_no_labels_score_zero():
-    assert tx.train([], []).score("blorkhead", {}) < 1e-9
-    assert tx.train(["a", "b"], [0, 0]).score("a", {}) < 1e-9
+    assert tx.train([], []).score("blorkhead") < 1e-9
+    assert tx.train(["a", "b"], [0, 0]).score("a") < 1e-9
 
 
 def test_query_over_tables(spark):
