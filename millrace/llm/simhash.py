@@ -274,10 +274,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """One row of each component: the one with the smallest doc_id (of rows repeating it, the first), all its columns."""
-    rows = docs.select("text", F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("d"))
-    rows = rows.select(F.coalesce("text", F.lit("")).alias("text"), "rid", F.col("d.doc_id").alias("doc_id"), "d")
-    fps = common.cut(fingerprinted(rows.select("rid", "doc_id", "text")), "simhash-rows")
+    """One row of each component: the one with the smallest doc_id (of rows repeating it, the first), all its columns.
+
+    The rows are written once with their ids: an id computed again in a second scan is another one where the file splits have changed.
+    """
+    rows = common.cut(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("d")), "simhash-docs")
+    fps = common.cut(fingerprinted(rows.select("rid", "d.doc_id", F.coalesce("d.text", F.lit("")).alias("text"))), "simhash-rows")
     fps = fps.select("fp", "rid", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid").alias("best"))
     best = component_of(fps.select("fp", "best"), "best").select("fp", F.col("best.rid").alias("stays"))
     gone = common.cut(fps.join(best, "fp").filter("rid <> stays").select(F.col("rid").alias("gone")), "simhash-gone")

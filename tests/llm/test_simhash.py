@@ -4,6 +4,7 @@ import re
 import numpy as np
 import xxhash
 
+from millrace.llm import common
 from millrace.llm import simhash as sh
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -67,6 +68,36 @@ def test_dedup_keeps_one_row_of_each_component(spark):
     assert sh.dedup(df.limit(0)).collect() == [] and sh.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_dedup_holds_when_the_splits_change_between_scans(spark, monkeypatch):
+    rng = random.Random(5)
+    prose = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(60))
+    rows = [(i, prose(), "en", "s", 0) for i in range(400)]
+    rows += [(1000 + i, rows[i][1], "en", "s", 0) for i in range(0, 400, 4)]
+    rng.shuffle(rows)
+    path = common.shared_path(spark, "test-splits")
+    for at, n in enumerate((20, 90, 40, 70, 30, 60, 80, 50, 10, 25, 15, 10)):
+        part, rows = rows[:n], rows[n:]
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(f"{path}/part={at}")
+    docs = spark.read.parquet(path).drop("part")
+    cut, parallelism = common.cut, "spark.sql.leafNodeDefaultParallelism"
+
+    def cut_and_lose_an_executor(df, name):
+        out = cut(df, name)
+        if name == "simhash-rows":
+            spark.conf.set(parallelism, "2")
+        return out
+
+    monkeypatch.setattr(common, "cut", cut_and_lose_an_executor)
+    spark.conf.set(parallelism, "6")
+    before = docs.rdd.getNumPartitions()
+    try:
+        kept = sh.dedup(docs).collect()
+        assert spark.read.parquet(path).rdd.getNumPartitions() != before
+    finally:
+        spark.conf.unset(parallelism)
+    assert sorted(r["doc_id"] for r in kept) == list(range(400))
+
+
 def test_links_of_dense_cells_span_the_components(monkeypatch):
     monkeypatch.setattr(sh, "DENSE", 8)
     rng = np.random.default_rng(2)
