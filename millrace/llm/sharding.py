@@ -93,8 +93,11 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, bucket_bytes:
     )
     at = F.xxhash64(F.lit(SEED), "d.doc_id", "crc")
     limit = 4 * bucket_bytes
-    for keys in (at, F.xxhash64(at, F.monotonically_increasing_id())):
-        placed = rows.withColumn("granule", F.pmod(keys, F.lit(GRANULES)).cast("int"))
+    for again in (False, True):
+        placed = rows.withColumn("granule", F.pmod(F.xxhash64(at, F.monotonically_increasing_id()) if again else at, F.lit(GRANULES)).cast("int"))
+        if again:
+            # counted and placed from one written table: another scan could number the rows anew
+            placed = common.cut(placed, "scattered")
         granules = common.cut(placed.groupBy("shard", "granule").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "granules")
         total, most = granules.agg(F.sum("bytes"), F.max("bytes")).first()
         if (most or 0) <= max(limit, 4 * (total or 0) // (shards * GRANULES)):

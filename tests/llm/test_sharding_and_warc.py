@@ -51,6 +51,37 @@ def test_small_buckets_and_a_heavy_id(spark):
         assert sorted(group) == list(range(len(group)))
 
 
+def test_slots_of_a_heavy_id_hold_when_the_splits_change_between_scans(spark, monkeypatch):
+    path = common.shared_path(spark, "test-splits")
+    for at, n in enumerate((20, 90, 40, 70, 30, 60, 80, 50, 10, 25, 15, 10)):
+        rows = [(1, "the same id " * 20, "en", "s", 0)] * n
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{path}/part={at}")
+    docs = spark.read.parquet(path).drop("part")
+    cut, parallelism = common.cut, "spark.sql.leafNodeDefaultParallelism"
+
+    def cut_and_lose_an_executor(df, name):
+        out = cut(df, name)
+        if name == "granules":
+            spark.conf.set(parallelism, "2" if spark.conf.get(parallelism) == "6" else "6")
+        return out
+
+    monkeypatch.setattr(common, "cut", cut_and_lose_an_executor)
+    spark.conf.set(parallelism, "6")
+    before = docs.rdd.getNumPartitions()
+    try:
+        out = common.shared_path(spark, "test-shards")
+        # the first scatter counts at 6 and the second at 2; the rows are placed at 6 again
+        sharding.write_shards(docs, out, bucket_bytes=512)
+        spark.conf.set(parallelism, "2")
+        assert spark.read.parquet(path).rdd.getNumPartitions() != before
+    finally:
+        spark.conf.unset(parallelism)
+    groups = _by_shard(spark.read.parquet(out))
+    assert sum(map(len, groups.values())) == 500
+    for group in groups.values():
+        assert sorted(group) == list(range(len(group)))
+
+
 def _by_shard(back):
     out = defaultdict(list)
     for r in back.select("shard", "slot").collect():
