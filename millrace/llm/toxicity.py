@@ -12,7 +12,9 @@ the softmax's bias is moved so that the score at which training rows part best
 (by F1) is ``THRESHOLD``.
 
 Labels are learnt only from rows with crc32(doc_id as text) mod 3 other than 1,
-at most ``MAX_LABELLED`` of them (the smallest by a seeded hash of doc_id). The
+at most ``MAX_LABELLED`` of them (the smallest by a seeded hash of doc_id). Where
+documents repeat a doc_id, all their texts are learnt from up to twice as many
+rows: one text of every label, by text hash, before a second one of any. The
 model is a few hundred kilobytes and travels with the scoring function.
 
 Cases with a defined result: null and empty texts score as the background
@@ -31,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from millrace.functions.shipping import map_arrow
 
@@ -224,12 +227,14 @@ def shift(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Trains on the labelled rows outside the held-out fold, ``MAX_LABELLED`` at most."""
+    """Trains on the labelled rows outside the held-out fold: ``MAX_LABELLED`` labels at most, and twice as many rows of them."""
     known = labels.filter(F.col("toxic").isNotNull()).select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter(fold(F.col("id")) != 1).distinct()
     known = known.orderBy(F.xxhash64("id"), "id", "toxic").limit(MAX_LABELLED)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("id", "text", "toxic")
-    found = sorted(rows.limit(2 * MAX_LABELLED).toArrow().to_pylist(), key=lambda r: (r["id"], r["toxic"], r["text"] or ""))
+    nth = F.row_number().over(W.partitionBy("id", "toxic").orderBy(F.xxhash64("text"), "text"))
+    rows = rows.withColumn("nth", nth).orderBy("nth", F.xxhash64("id"), "id", "toxic", F.xxhash64("text"), "text").limit(2 * MAX_LABELLED)
+    found = sorted(rows.select("id", "text", "toxic").toArrow().to_pylist(), key=lambda r: (r["id"], r["toxic"], r["text"] or ""))
     return train([r["text"] for r in found], [r["toxic"] for r in found])
 
 

@@ -63,3 +63,16 @@ def test_query_over_tables(spark):
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode() if r["doc_id"] is not None else b"") % 3 == 1)
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7)
     assert tx.scored(d.limit(0), tx.Model()).collect() == []
+
+
+def test_repeated_ids_leave_every_label_a_text_in_any_order(spark, monkeypatch):
+    monkeypatch.setattr(tx, "MAX_LABELLED", 20)
+    seen = []
+    monkeypatch.setattr(tx, "train", lambda t, y: seen.append(list(zip(t, y, strict=True))))
+    docs = [(i, f"text {k} of {i}") for i in range(60) for k in range(5)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    l = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    for rows in (d, d.repartition(3, "text"), d.orderBy("text")):
+        tx.fit(rows, l)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 40
+    assert len({t.split()[-1] for t, _ in seen[0]}) == 20
