@@ -2,11 +2,14 @@
 
 For byte pair merges with one merge per token, every prefix of a word has one
 last token: of the tokens that end there, the one that may follow the last
-token of what is before it. The tokens that end at a place come from an
-Aho-Corasick automaton over the vocabulary; whether a token may follow another
-is decided by undoing merges on both sides of their border until either a
-merge across it would have come first (no) or nothing is left to undo (yes).
-Following the last tokens back from the end of a word gives its ids.
+token of what is before it. The tokens that end at a place are read off a
+suffix automaton of the vocabulary: its state says the longest suffix of the
+prefix that is part of any token, and the tokens on the path of suffix links
+are those that end there. Whether a token may follow another is decided by
+undoing merges on both sides of their border until either a merge across it
+would have come first (no) or nothing is left to undo (yes). Following the last
+tokens back from the end of a word gives its ids. A group of texts is cut into
+words first, and each distinct word of it is solved once.
 
 The vocabulary file is a parameter and is read on each worker. It describes a
 word-end BPE: NFC, white space as word border, lower case by character, words
@@ -14,17 +17,21 @@ cut by a pattern, bytes as printable characters, and a mark at the last one.
 
 Cases with a defined result: null and empty texts have no tokens and decode to
 the empty string; special tokens found in a text become their ids; texts are
-taken whole; repeated rows each get their row; other columns are not read, or
-are carried along by ``encode``.
+taken whole, a very long one in parts that end at white space; repeated rows
+each get their row; other columns are not read, or are carried along by
+``encode``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache, partial
+from itertools import chain, groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,13 +39,16 @@ from pyspark.sql import functions as F
 
 from millrace.functions.shipping import map_arrow
 
-#: Pieces of text whose ids a worker remembers, in each of two generations.
-MEMO = 150_000
+#: Words whose ids a worker remembers from one group of texts to the next.
+MEMO = 300_000
+#: Characters of text whose words are in memory at a time.
+GROUP = 2_000_000
 WORD_END = "</w>"
-#: Takes the place of WORD_END inside the automaton: one character that no byte is shown as.
-MARK = ""
-FILE_SEPARATORS = "\x1c\x1d\x1e\x1f"
-FIRST_UNUSUAL = "\u0250"
+#: Added to the last byte of a word: the symbol that carries the mark.
+LAST = 256
+#: What the file's pattern calls white space.
+SPACE = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+FIRST_UNUSUAL = 0x250
 
 
 def byte_characters() -> list[str]:
@@ -48,62 +58,133 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in set(shown) else chr(next(rest)) for b in range(256)]
 
 
+def characters(category: str, limit: int) -> str:
+    """The characters below ``limit`` of a general category, escaped for a character class."""
+    return "".join(re.escape(chr(c)) for c in range(limit) if unicodedata.category(chr(c))[0] == category)
+
+
+class SuffixAutomaton:
+    """The smallest automaton of all parts of the given sequences of symbols below 512.
+
+    ``step`` maps state << 9 | symbol to the next state; ``longest`` is the
+    length of a state's longest part, ``link`` the state of the longest suffix
+    with other endings. A whole sequence is the longest part of its state, as
+    nothing longer ends where it ends.
+    """
+
+    def __init__(self, sequences: Iterable[list[int]]) -> None:
+        self.step: dict[int, int] = {}
+        self.longest, self.link, self.out = [0], [-1], [[]]
+        self.final = [self.add(x) for x in sequences]
+        del self.out
+
+    def state(self, longest: int, link: int, out: list[int]) -> int:
+        self.longest.append(longest)
+        self.link.append(link)
+        self.out.append(out)
+        return len(self.longest) - 1
+
+    def set_step(self, state: int, symbol: int, to: int) -> None:
+        self.step[state << 9 | symbol] = to
+
+    def split(self, state: int, symbol: int, to: int) -> int:
+        """A state for the shorter parts of ``to``, which end in more places than its longer ones."""
+        step = self.step
+        made = self.state(self.longest[state] + 1, self.link[to], list(self.out[to]))
+        for x in self.out[to]:
+            step[made << 9 | x] = step[to << 9 | x]
+        self.link[to] = made
+        while state >= 0 and step.get(state << 9 | symbol) == to:
+            step[state << 9 | symbol] = made
+            state = self.link[state]
+        return made
+
+    def add(self, symbols: list[int]) -> int:
+        """Adds one sequence and returns the state that it ends in."""
+        step, last = self.step, 0
+        for x in symbols:
+            to = step.get(last << 9 | x)
+            if to is not None:
+                last = to if self.longest[to] == self.longest[last] + 1 else self.split(last, x, to)
+                continue
+            at, last = last, self.state(self.longest[last] + 1, 0, [])
+            while at >= 0 and (at << 9 | x) not in step:
+                step[at << 9 | x] = last
+                self.out[at].append(x)
+                at = self.link[at]
+            if at >= 0:
+                to = step[at << 9 | x]
+                self.link[last] = to if self.longest[to] == self.longest[at] + 1 else self.split(at, x, to)
+        return last
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary file."""
 
     def __init__(self, path: str) -> None:
-        import ahocorasick
-        import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             doc = json.load(f)
         model = doc["model"]
+        vocab = model["vocab"]
         self.special = {x["content"]: x["id"] for x in doc["added_tokens"]}
-        self.names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
-        vocab = {self.marked(t): i for t, i in model["vocab"].items()}
+        self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         #: by token id: its merge's place (-1: none) and the two ids that it merges
         self.rank = dict.fromkeys(vocab.values(), -1)
         self.parts = {i: (i, i) for i in vocab.values()}
         self.merged: dict[tuple[int, int], int] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            a, b = self.marked(a), self.marked(b)
-            if a + b not in vocab:
-                continue
-            left, right, whole = vocab[a], vocab[b], vocab[a + b]
-            self.merged[left, right] = rank
-            self.rank[whole], self.parts[whole] = rank, (left, right)
-        self.automaton = ahocorasick.Automaton()
-        for token, i in vocab.items():
-            self.automaton.add_word(token, (len(token), i))
-        self.automaton.make_automaton()
-        self.bytes = dict(enumerate(byte_characters()))
+            if a + b in vocab:
+                left, right, whole = vocab[a], vocab[b], vocab[a + b]
+                self.merged[left, right] = rank
+                self.rank[whole], self.parts[whole] = rank, (left, right)
+        self.byte = {x: b for b, x in enumerate(byte_characters())}
+        self.read_vocabulary(vocab)
         splits = [x["pattern"]["Regex"] for x in doc["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"]
-        self.words = regex.compile(splits[0]).findall
-        self.specials = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.spaces = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+        # below U+0250 letters and digits are listed: Python's re is fast, and no Unicode version moves them
+        listed = splits[0].replace("\\p{L}", characters("L", FIRST_UNUSUAL)).replace("\\p{N}", characters("N", FIRST_UNUSUAL)).replace("\\s", SPACE)
+        plain = splits[0].replace("\\p{L}", characters("L", 128)).replace("\\p{N}", characters("N", 128)).replace("\\s", "\\t-\\r ")
+        self.find_listed, self.find_plain = re.compile(listed).findall, re.compile(plain).findall
+        self.unusual = re.compile(f"[^\\x00-{chr(FIRST_UNUSUAL - 1)}]").search
+        self.specials = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.space = re.compile(f"[{SPACE}]")
+        self.pieces = re.compile(f"[^{SPACE}]+").findall
         whole = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer = whole.normalizer, whole.pre_tokenizer
         self.forget()
 
+    def read_vocabulary(self, vocab: dict[str, int]) -> None:
+        """The automaton, and for each of its states the tokens on its path of links, longest first."""
+        spelled = []
+        for token in vocab:
+            ends = token.endswith(WORD_END)
+            symbols = [self.byte[x] for x in (token[: -len(WORD_END)] if ends else token)]
+            symbols[-1] += LAST * ends
+            spelled.append(symbols)
+        automaton = SuffixAutomaton(spelled)
+        self.step, self.longest, self.link = automaton.step, automaton.longest, automaton.link
+        self.length = {i: len(x) for x, i in zip(spelled, vocab.values(), strict=True)}
+        own = {state: (len(x), i) for state, x, i in zip(automaton.final, spelled, vocab.values(), strict=True)}
+        self.ending: list[tuple[tuple[int, int], ...]] = [()] * len(self.link)
+        for state in sorted(range(1, len(self.link)), key=self.longest.__getitem__):
+            above = self.ending[self.link[state]]
+            self.ending[state] = (own[state], *above) if state in own else above
+
     def forget(self) -> None:
         """Drops what was remembered about texts."""
         self.pair_memo: dict[int, bool] = {}
-        self.word_memo: dict[str, list[int]] = {}
-        self.old_pieces: dict[str, tuple[int, list[int], str, str]] = {}
-        self.new_pieces: dict[str, tuple[int, list[int], str, str]] = {}
-
-    @staticmethod
-    def marked(token: str) -> str:
-        return token[: -len(WORD_END)] + MARK if token.endswith(WORD_END) else token
+        #: by word: its ids, and the names of its tokens, both as text
+        self.ids: dict[str, str] = {}
+        self.shown: dict[str, str] = {}
 
     def fits(self, a: int, b: int) -> bool:
         """Whether merging leaves ``a`` and ``b`` side by side: no merge across their border comes before those that made them."""
         key = a << 20 | b
         found = self.pair_memo.get(key)
         if found is None:
-            if len(self.pair_memo) >= 4 * MEMO:
+            if len(self.pair_memo) >= MEMO:
                 self.pair_memo.clear()
             found = self.pair_memo[key] = self.stay_apart(a, b)
         return found
@@ -122,90 +203,118 @@ class Bpe:
             else:
                 limit, b = rb + 1, parts[b][0]
 
-    def word_ids(self, shown: str) -> list[int]:
-        """Ids of one word, given as the characters that stand for its bytes."""
-        n = len(shown)
-        # last[i]: the last token of the prefix of i characters, begin[i]: where it begins
-        last, begin = [-1] * (n + 1), [0] * (n + 1)
-        known = self.pair_memo.get
-        for end, (size, token) in self.automaton.iter(shown + MARK):
-            start = end + 1 - size
-            if end + 1 == n:  # the last character carries the mark: no token ends before it
-                continue
-            i = end + 1 if end < n else n
-            if last[i] >= 0:
-                continue
-            if start:
-                before = last[start]
-                if before < 0:
-                    continue
+    def word_ids(self, word: str) -> list[int]:
+        """Ids of one word."""
+        symbols = [*word.encode()]
+        symbols[-1] += LAST
+        step, link, longest, ending, known = self.step, self.link, self.longest, self.ending, self.pair_memo.get
+        last = [-1]  # last[i]: the last token of the prefix of i symbols
+        state = size = at = 0
+        for x in symbols:
+            at += 1
+            to = step.get(state << 9 | x)
+            while to is None:
+                state = link[state]
+                size = longest[state]
+                to = step.get(state << 9 | x)
+            state = to
+            size += 1
+            # of a state entered by a shorter part only what its link holds ends here
+            for length, token in ending[state] if size == longest[state] else ending[link[state]]:
+                if length == at:
+                    break
+                before = last[at - length]
                 fit = known(before << 20 | token)
-                if not (self.fits(before, token) if fit is None else fit):
-                    continue
-            last[i], begin[i] = token, start
-        ids, at = [], n
+                if self.fits(before, token) if fit is None else fit:
+                    break
+            last.append(token)
+        ids, length = [], self.length
         while at:
             ids.append(last[at])
-            at = begin[at]
+            at -= length[last[at]]
         ids.reverse()
         return ids
 
-    def shown(self, word: str) -> str:
-        return word.encode().decode("latin-1").translate(self.bytes)
-
-    def shown_words(self, text: str) -> list[str]:
-        """The words of a text without special tokens, as the characters that stand for their bytes.
+    def words(self, text: str) -> list[str]:
+        """The words of a text; a special token stands for itself.
 
-        Below U+0250 this is spelled out here; elsewhere the Unicode version of
-        the tokenizers library decides what is a letter and what its lower case.
+        Below U+0250 normal form and lower case are spelled out here; elsewhere
+        the Unicode version of the tokenizers library decides what is a letter
+        and what its lower case.
         """
+        if self.specials and "<" in text and self.specials.search(text):
+            return [w for x in self.specials.split(text) for w in ([x] if x in self.special else self.words(x))]
         if text.isascii():
-            words = self.words(text.lower())
-            return words if text.isprintable() else [self.shown(word) for word in words]
-        if max(text) < FIRST_UNUSUAL:
-            return [self.shown(word) for word in self.words(unicodedata.normalize("NFC", text).lower())]
-        return [x for x, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(text))]
-
-    def ids_of(self, text: str) -> list[int]:
-        """Ids of a text without special tokens."""
-        out: list[int] = []
-        for word in self.shown_words(text):
-            ids = self.word_memo.get(word)
-            if ids is None:
-                if len(self.word_memo) >= MEMO:
-                    self.word_memo.clear()
-                ids = self.word_memo[word] = self.word_ids(word)
-            out += ids
-        return out
-
-    def piece(self, text: str) -> tuple[int, list[int], str, str]:
-        """For a piece between white space: the count of ids, the ids, the ids as text, the decoded text."""
-        found = self.old_pieces.get(text)
-        if found is None:
-            if self.specials and "<" in text:
-                ids = [i for x in self.specials.split(text) for i in ([self.special[x]] if x in self.special else self.ids_of(x))]
+            return self.find_plain(text.lower())
+        if not self.unusual(text):
+            return self.find_listed(unicodedata.normalize("NFC", text).lower())
+        found: list[str] = []
+        for piece in self.pieces(text):
+            if self.unusual(piece):
+                shown = [x for x, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(piece))]
+                found += [bytes([self.byte[c] for c in x]).decode() for x in shown]
             else:
-                ids = self.ids_of(text)
-            found = (len(ids), ids, " ".join(map(str, ids)), self.decode(ids))
-        if len(self.new_pieces) >= MEMO:  # what was not asked for since the last turn goes
-            self.old_pieces, self.new_pieces = self.new_pieces, {}
-        self.new_pieces[text] = found
+                found += self.find_listed(unicodedata.normalize("NFC", piece).lower())
         return found
 
-    def pieces(self, text: str) -> list[tuple[int, list[int], str, str]]:
-        """The pieces of a text that have ids."""
-        parts = self.spaces.split(text) if any(c in text for c in FILE_SEPARATORS) else text.split()
-        found = [self.new_pieces.get(x) or self.piece(x) for x in parts]
-        return [x for x in found if x[0]]
+    def learn(self, words: Iterable[list[str]]) -> None:
+        """Solves each distinct word not yet remembered."""
+        asked = set(chain.from_iterable(words))
+        if len(self.ids) + len(asked) > MEMO:
+            for memo in (self.ids, self.shown):
+                kept = {w: memo[w] for w in asked & memo.keys()}
+                memo.clear()
+                memo.update(kept)
+        names = self.names
+        for word in asked - self.ids.keys():
+            ids = [self.special[word]] if word in self.special else self.word_ids(word)
+            self.ids[word] = " ".join(map(str, ids))
+            self.shown[word] = " ".join([names[i] for i in ids])
+
+    def parts_of(self, text: str) -> Iterator[str]:
+        """The text, in parts of about GROUP characters that end at white space."""
+        at = 0
+        while len(text) - at > GROUP and (cut := self.space.search(text, at + GROUP)):
+            yield text[at : cut.start()]
+            at = cut.end()
+        yield text[at:] if at else text
+
+    def coded(self, texts: Iterable[str | None]) -> Iterator[tuple[str, str]]:
+        """Per text: its ids, and its tokens' names, both as text with blanks between."""
+        parts = ((row, part) for row, text in enumerate(texts) for part in self.parts_of(text or ""))
+        solved = chain.from_iterable(map(self.solved, grouped(parts)))
+        for _, found in groupby(solved, itemgetter(0)):
+            _, ids, shown = zip(*found, strict=True)
+            yield (ids[0], shown[0]) if len(ids) == 1 else (" ".join(filter(None, ids)), " ".join(filter(None, shown)))
+
+    def solved(self, parts: list[tuple[int, str]]) -> Iterator[tuple[int, str, str]]:
+        words = [self.words(part) for _, part in parts]
+        self.learn(words)
+        ids, shown = self.ids.__getitem__, self.shown.__getitem__
+        for (row, _), found in zip(parts, words, strict=True):
+            yield row, " ".join(map(ids, found)), " ".join(map(shown, found))
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for x in self.pieces(text or "") for i in x[1]]
+        return [int(x) for ids, _ in self.coded([text]) for x in ids.split()]
 
     def decode(self, ids: list[int]) -> str:
         """Token names side by side, by blanks: the file names no decoder that would join them."""
         return " ".join([self.names[i] for i in ids])
 
 
+def grouped(parts: Iterable[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+    """The parts in order, about GROUP characters at a time."""
+    group: list[tuple[int, str]] = []
+    held = 0
+    for x in parts:
+        group.append(x)
+        held += len(x[1])
+        if held > GROUP:
+            yield group
+            group, held = [], 0
+    yield group
+
+
 @cache
 def loaded(path: str) -> Bpe:
     return Bpe(path)
@@ -221,19 +330,18 @@ def _encoded(path: str, with_ids: bool, batches: Iterator[pa.RecordBatch]) -> It
 
 
 def _encoded_batch(bpe: Bpe, with_ids: bool, batch: pa.RecordBatch) -> pa.RecordBatch:
-    counts, ids, digests, decoded = [], [], [], []
-    for text in batch.column("text"):
-        found = bpe.pieces(text.as_py() or "")
-        counts.append(sum([x[0] for x in found]))
-        digests.append(hashlib.sha256(" ".join([x[2] for x in found]).encode()).hexdigest())
-        decoded.append(hashlib.sha256(" ".join([x[3] for x in found]).encode()).hexdigest())
+    counts, kept, digests, decoded = [], [], [], []
+    for ids, shown in bpe.coded(batch.column("text").to_pylist()):
+        counts.append(ids.count(" ") + 1 if ids else 0)
+        digests.append(hashlib.sha256(ids.encode()).hexdigest())
+        decoded.append(hashlib.sha256(shown.encode()).hexdigest())
         if with_ids:
-            ids.append([i for x in found for i in x[1]])
+            kept.append([*map(int, ids.split())])
     rest = [i for i, name in enumerate(batch.schema.names) if name != "text"]
     arrays = [*(batch.column(i) for i in rest), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
     names = [*(batch.schema.names[i] for i in rest), "n_tokens", "ids_sha256", "decoded_sha256"]
     if with_ids:
-        arrays, names = [*arrays, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
+        arrays, names = [*arrays, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
     return pa.RecordBatch.from_arrays(arrays, names)
 
 
