@@ -33,6 +33,7 @@ from functools import cache, partial
 from itertools import chain, groupby
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,10 @@ MEMO = 300_000
 #: Characters of text whose words are in memory at a time.
 GROUP = 2_000_000
 WORD_END = "</w>"
+#: Words of more bytes are solved one by one, as few others are as long.
+LONG = 64
+#: Slots of the table of solved pairs.
+PAIR_SLOTS = 1 << 19
 #: Added to the last byte of a word: the symbol that carries the mark.
 LAST = 256
 #: What the file's pattern calls white space.
@@ -168,9 +173,28 @@ class Bpe:
         self.length = {i: len(x) for x, i in zip(spelled, vocab.values(), strict=True)}
         own = {state: (len(x), i) for state, x, i in zip(automaton.final, spelled, vocab.values(), strict=True)}
         self.ending: list[tuple[tuple[int, int], ...]] = [()] * len(self.link)
+        token, top = np.full(len(self.link), -1, np.int32), np.zeros(len(self.link), np.int32)
+        up = np.zeros(len(self.link), np.int32)
         for state in sorted(range(1, len(self.link)), key=self.longest.__getitem__):
-            above = self.ending[self.link[state]]
-            self.ending[state] = (own[state], *above) if state in own else above
+            above = self.link[state]
+            if state in own:
+                self.ending[state] = (own[state], *self.ending[above])
+                token[state], top[state], up[state] = own[state][1], state, top[above]
+            else:
+                self.ending[state], top[state] = self.ending[above], top[above]
+        # the same as arrays; top: the nearest state with a token on the path of links, up: the next one after that
+        self.token, self.top, self.up = token, top, up
+        steps = sorted(self.step.items())
+        self.step_keys, self.step_to = np.array([k for k, _ in steps], np.int64), np.array([v for _, v in steps], np.int64)
+        self.links, self.longests = np.array(self.link, np.int64), np.array(self.longest, np.int64)
+        ids = max(vocab.values()) + 1
+        self.lengths, self.ranks = np.zeros(ids, np.int64), np.full(ids, -1, np.int64)
+        self.lefts, self.rights = np.arange(ids), np.arange(ids)
+        for i in vocab.values():
+            self.lengths[i], self.ranks[i], (self.lefts[i], self.rights[i]) = self.length[i], self.rank[i], self.parts[i]
+        merges = sorted((a << 20 | b, rank) for (a, b), rank in self.merged.items())
+        self.merge_keys, self.merge_ranks = np.array([k for k, _ in merges], np.int64), np.array([r for _, r in merges], np.int64)
+        self.pair_keys, self.pair_fits = np.full(PAIR_SLOTS, -1, np.int64), np.zeros(PAIR_SLOTS, bool)
 
     def forget(self) -> None:
         """Drops what was remembered about texts."""
@@ -235,6 +259,78 @@ class Bpe:
         ids.reverse()
         return ids
 
+    def all_stay_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``stay_apart`` of many pairs."""
+        never = len(self.merge_keys) + 1
+        fits, at, limit = np.ones(len(a), bool), np.arange(len(a)), np.full(len(a), never)
+        while len(at):
+            key = a << 20 | b
+            place = np.minimum(np.searchsorted(self.merge_keys, key), len(self.merge_keys) - 1)
+            merged = np.where(self.merge_keys[place] == key, self.merge_ranks[place], never) < limit
+            fits[at[merged]] = False
+            ra, rb = self.ranks[a], self.ranks[b]
+            on = ~merged & ((ra >= 0) | (rb >= 0))
+            left = (ra > rb)[on]
+            at, a, b, ra, rb = at[on], a[on], b[on], ra[on], rb[on]
+            limit = np.where(left, ra, rb + 1)
+            a, b = np.where(left, self.rights[a], a), np.where(left, b, self.lefts[b])
+        return fits
+
+    def all_fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``fits`` of many pairs; what was solved stays in a table with one slot a hash."""
+        key = a << 20 | b
+        slot = (key * 0x9E3779B97F4A7C1 >> 20) % PAIR_SLOTS
+        fits, new = self.pair_fits[slot], self.pair_keys[slot] != key
+        if new.any():
+            fits[new] = self.all_stay_apart(a[new], b[new])
+            self.pair_keys[slot[new]] = key[new]
+            # of pairs that share a slot the last one has it
+            self.pair_fits[slot[new]] = fits[new]
+        return fits
+
+    def all_word_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``word_ids`` of many words, a symbol of all of them at a time: the ids one after another, and each word's count."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        begin = np.cumsum(sizes) - sizes
+        symbols = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        symbols[begin + sizes - 1] += LAST
+        order = np.argsort(-sizes, kind="stable")  # the words that go on are the first ones
+        begins = begin[order]
+        going = len(words) - np.cumsum(np.bincount(sizes))
+        last = np.zeros(len(symbols), np.int64)
+        state, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for at in range(len(going) - 1):
+            n = going[at]
+            start, state, size = begins[:n], state[:n], size[:n]
+            symbol, todo = symbols[start + at], np.arange(n)
+            while len(todo):
+                key = state[todo] << 9 | symbol[todo]
+                place = np.minimum(np.searchsorted(self.step_keys, key), len(self.step_keys) - 1)
+                found = self.step_keys[place] == key
+                state[todo[found]] = self.step_to[place[found]]
+                size[todo[found]] += 1
+                todo = todo[~found]
+                state[todo] = self.links[state[todo]]
+                size[todo] = self.longests[state[todo]]
+            path = self.top[np.where(size == self.longests[state], state, self.links[state])]
+            todo = np.arange(n)
+            while len(todo):
+                token = self.token[path[todo]].astype(np.int64)
+                length, end = self.lengths[token], start[todo] + at
+                fits = length == at + 1
+                inner = np.flatnonzero(~fits)
+                fits[inner] = self.all_fit(last[end[inner] - length[inner]], token[inner])
+                last[end[fits]] = token[fits]
+                todo = todo[~fits]
+                path[todo] = self.up[path[todo]]
+        chosen, at, first = np.zeros(len(symbols), bool), begin + sizes - 1, begin
+        while len(at):
+            chosen[at] = True
+            at = at - self.lengths[last[at]]
+            on = at >= first
+            at, first = at[on], first[on]
+        return last[chosen], np.add.reduceat(chosen, begin, dtype=np.int64)
+
     def words(self, text: str) -> list[str]:
         """The words of a text; a special token stands for itself.
 
@@ -265,11 +361,24 @@ class Bpe:
                 kept = {w: memo[w] for w in asked & memo.keys()}
                 memo.clear()
                 memo.update(kept)
+        new = [*(asked - self.ids.keys())]
+        coded = [word.encode() for word in new]
+        usual, found = [], {}
+        for i, word in enumerate(new):
+            if word in self.special:
+                found[i] = [self.special[word]]
+            elif len(coded[i]) > LONG:
+                found[i] = self.word_ids(word)
+            else:
+                usual.append(i)
+        if usual:
+            ids, counts = self.all_word_ids([coded[i] for i in usual])
+            ids, ends = ids.tolist(), np.cumsum(counts).tolist()
+            found |= {i: ids[a:b] for i, a, b in zip(usual, [0, *ends], ends, strict=False)}
         names = self.names
-        for word in asked - self.ids.keys():
-            ids = [self.special[word]] if word in self.special else self.word_ids(word)
-            self.ids[word] = " ".join(map(str, ids))
-            self.shown[word] = " ".join([names[i] for i in ids])
+        for i, ids in found.items():
+            self.ids[new[i]] = " ".join(map(str, ids))
+            self.shown[new[i]] = " ".join([names[i] for i in ids])
 
     def parts_of(self, text: str) -> Iterator[str]:
         """The text, in parts of about GROUP characters that end at white space."""

@@ -49,3 +49,40 @@ def test_query_over_a_table(spark, library):
     back = bpe.decode(coded.select("doc_id", "ids"), PATH)
     assert {r["doc_id"]: r["text"] for r in back.collect()} == {r[0]: library.decode(library.encode(r[1] or "", add_special_tokens=False).ids, skip_special_tokens=False) for r in rows}
     assert bpe.digests(df.limit(0), PATH).collect() == []
+
+
+def test_many_words_at_once_equal_one_by_one():
+    own, rng = bpe.Bpe(PATH), random.Random(7)
+    words = sorted({"".join(rng.choice("aeinrst hé日") for _ in range(rng.randrange(1, 40))).replace(" ", "") or "x" for _ in range(500)})
+    ids, counts = own.all_word_ids([w.encode() for w in words])
+    parts, at = [], 0
+    for n in counts.tolist():
+        parts.append(ids[at : at + n].tolist())
+        at += n
+    assert parts == [own.word_ids(w) for w in words]
+
+
+def test_the_automaton_holds_every_part_once():
+    rng = random.Random(8)
+    sequences = [list(x) for x in {tuple(rng.randrange(3) for _ in range(rng.randrange(1, 7))) for _ in range(40)}]
+    made = bpe.SuffixAutomaton(sequences)
+    parts = {tuple(x[a:b]) for x in sequences for a in range(len(x)) for b in range(a + 1, len(x) + 1)}
+    walked, todo = set(), [((), 0)]
+    while todo:
+        path, state = todo.pop()
+        for key, to in made.step.items():
+            if key >> 9 == state:
+                walked.add((*path, key & 511))
+                todo.append(((*path, key & 511), to))
+    assert walked == parts
+    assert all(made.longest[state] == len(x) for state, x in zip(made.final, sequences, strict=True))
+
+
+def test_very_long_texts_go_in_parts(library, monkeypatch):
+    own = bpe.Bpe(PATH)
+    monkeypatch.setattr(bpe, "GROUP", 50)
+    long = " ".join(texts()[20:60]) + " <|endoftext|>" + "y" * 400 + " 日本 x"
+    assert own.encode(long) == library.encode(long, add_special_tokens=False).ids
+    (ids, shown), empty = own.coded([long, None])
+    assert shown == library.decode([int(x) for x in ids.split()], skip_special_tokens=False)
+    assert empty == ("", "")
