@@ -108,15 +108,19 @@ def stored(asks: DataFrame, store: DataFrame) -> DataFrame:
     ``store`` is (member, asked_type, ord, text, source): the asked type is part
     of its key. An entry without type serves any ask, an ask without type the
     first entry; of DSN(MEMBER) the whole is looked up before the member.
+    Repeated ``seq`` do no harm: a hit goes by name and type.
     """
     key = member_key(F.col("name"))
     inner = F.upper(F.regexp_extract(key, DATASET_MEMBER, 1))
     names = F.when(inner != "", F.array(key, inner)).otherwise(F.array(key))
-    each = asks.select("seq", "asked_type", F.posexplode(names).alias("nth", "key")).alias("a")
+    # an answer is a matter of name and type alone: each pair is looked up once, whatever asks for it
+    pairs = asks.select("name", "asked_type").distinct()
+    each = pairs.select("name", "asked_type", F.posexplode(names).alias("nth", "key")).alias("a")
     grade = F.expr("CASE WHEN a.asked_type <=> s.asked_type THEN 0 WHEN s.asked_type IS NULL THEN 1 WHEN a.asked_type IS NULL THEN 2 END")
     found = each.join(store.alias("s"), F.expr("a.key = s.member")).withColumn("grade", grade).filter("grade IS NOT NULL")
-    best = found.groupBy("a.seq").agg(F.min(F.struct("a.nth", "grade", "s.ord", F.struct("s.source", "s.text").alias("hit"))).alias("best"))
-    return asks.join(best.select("seq", F.col("best.hit").alias("hit")), "seq", "left")
+    order = F.struct("a.nth", "grade", "s.ord", F.struct("s.source", "s.text").alias("hit"))
+    best = found.groupBy("a.name", "a.asked_type").agg(F.min(order).alias("best")).select("name", "asked_type", F.col("best.hit").alias("hit"))
+    return asks.alias("q").join(best.alias("b"), F.expr("q.name = b.name AND q.asked_type <=> b.asked_type"), "left").select("q.*", "b.hit")
 
 
 # ---- outcomes
@@ -174,9 +178,24 @@ def answer(got: object, name: str) -> tuple[str, str | None, str | None, str | N
 
 
 def first_answers(answers: DataFrame) -> DataFrame:
-    """Of the answers recorded for one (name, asked_type) the first by seq."""
-    nth = F.row_number().over(W.partitionBy("name", "asked_type").orderBy("seq"))
-    return answers.withColumn("nth", nth).filter("nth = 1").drop("nth")
+    """Of the answers recorded for one (name, asked_type) the first by seq; of several with one seq the least by their other columns."""
+    rest = [c for c in answers.columns if c not in ("name", "asked_type", "seq")]
+    first = answers.groupBy("name", "asked_type").agg(F.min(F.struct("seq", *rest)).alias("x"))
+    return first.select(*[c if c in ("name", "asked_type") else F.col(f"x.{c}").alias(c) for c in answers.columns])
+
+
+def with_first(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``is_first``: one row of each combination of ``keys`` (nulls are equal), the one with the least seq.
+
+    The least seq is pre-aggregated, so that a combination may hold any share
+    of the rows; rows that repeat their seq too are told apart among themselves.
+    """
+    least = rows.groupBy(*keys).agg(F.min("seq").alias("least"))
+    same = F.expr(" AND ".join(f"r.`{k}` <=> m.`{k}`" for k in keys))
+    rest = [c for c in rows.columns if c not in keys and c != "seq"]
+    nth = F.row_number().over(W.partitionBy(*keys, "seq").orderBy(*(rest or ["seq"])))
+    marked = rows.alias("r").join(least.alias("m"), same).select("r.*", "m.least").withColumn("nth", nth)
+    return marked.withColumn("is_first", F.coalesce((F.col("seq") == F.col("least")) & (F.col("nth") == 1), F.lit(False))).drop("least", "nth")
 
 
 def replayed(asks: DataFrame, answers: DataFrame) -> DataFrame:
@@ -197,40 +216,42 @@ def fetched(plan: DataFrame, subject: str, store: DataFrame, answers: DataFrame
     first of its types that was found, an error, or not found. A language is
     stated only where an answer proves it.
     """
-    name = F.upper("request")
-    rows = plan.withColumn("name", name).withColumn("first", F.when(F.col("status") == "planned", F.min("seq").over(W.partitionBy("name", "types", "status"))))
-    asks = rows.filter("status = 'planned' AND seq = first").select("seq", "name", F.posexplode("types").alias("probe", "asked_type"))
-    hits = stored(asks.select(F.struct("seq", "probe").alias("seq"), "name", "asked_type"), store).filter("hit IS NOT NULL")
-    hits = hits.groupBy(F.col("seq.seq").alias("seq")).agg(F.min(F.struct(F.col("seq.probe").alias("probe"), "hit")).alias("h")).select("seq", "h.hit")
+    planned = plan.withColumn("name", F.upper("request")).filter("status = 'planned'")
+    asks = planned.select("name", "types").distinct().select("name", "types", F.posexplode("types").alias("probe", "asked_type"))
+    hits = stored(asks, store).filter("hit IS NOT NULL").groupBy("name", "types").agg(F.min(F.struct("probe", "hit")).alias("h")).select("name", "types", "h.hit")
+    none = F.lit(None).cast("string")
     if answers is None:
-        asked = asks.select("seq").distinct().select("seq", F.lit("no-service").alias("outcome"), *[F.lit(None).cast("string").alias(c) for c in ("source", "detected_type", "asked_type")])
+        asked = asks.groupBy("name", "types").agg(F.lit("no-service").alias("outcome")).select("*", *[none.alias(c) for c in ("source", "detected_type", "shown_type")])
     else:
         known = first_answers(answers.select("seq", F.upper("name").alias("name"), "asked_type", "outcome", "source", "detected_type")).drop("seq")
         each = asks.join(known, ["name", "asked_type"], "left")
         # the first type that is found ends the probing; an error before it ends it too
         step = F.struct("probe", F.when(F.col("outcome") == "found", "fetched").when(F.col("outcome") == "error", "error").alias("outcome"), "source", "detected_type", "asked_type")
-        asked = each.groupBy("seq").agg(F.min(F.when(F.col("outcome").isin("found", "error"), step)).alias("s"))
-        asked = asked.select("seq", F.coalesce("s.outcome", F.lit("not-found")).alias("outcome"), "s.source", "s.detected_type", "s.asked_type")
-    ends = asks.select("seq").distinct().join(hits, "seq", "left").join(asked, "seq", "left")
-    ends = ends.select(
-        F.col("seq").alias("first"), F.when(F.col("hit").isNotNull(), "prefetched").otherwise(F.col("outcome")).alias("end"),
-        F.coalesce("hit.source", "source").alias("source"), F.when(F.col("hit").isNull(), F.coalesce("detected_type", "asked_type")).alias("shown"),
+        asked = each.groupBy("name", "types").agg(F.min(F.when(F.col("outcome").isin("found", "error"), step)).alias("s"))
+        asked = asked.select("name", "types", F.coalesce("s.outcome", F.lit("not-found")).alias("outcome"), "s.source", "s.detected_type", F.col("s.asked_type").alias("shown_type"))
+    ends = asked.join(hits, ["name", "types"], "left").select(
+        "name", "types", F.when(F.col("hit").isNotNull(), "prefetched").otherwise(F.col("outcome")).alias("end"),
+        F.coalesce("hit.source", "source").alias("source"), F.when(F.col("hit").isNull(), F.coalesce("detected_type", "shown_type")).alias("shown"),
         F.col("detected_type").isNotNull().alias("told"),
     )
-    out = rows.join(ends, "first", "left")
+    out = with_first(planned, ["name", "types"]).join(ends, ["name", "types"], "left")
     is_subject = F.col("name") == subject.upper()
-    own = (F.col("seq") == F.col("first")) & ~is_subject
+    own = F.col("is_first") & ~is_subject
     status = (
-        F.when(F.col("status") == "skipped", "skipped").when(is_subject, "subject").when(own, F.col("end"))
+        F.when(is_subject, "subject").when(own, F.col("end"))
         .when(F.col("end").isin("fetched", "prefetched"), "already-fetched").otherwise(F.col("end"))
     )
     language = F.when((F.size("types") > 1) & own & (F.col("end") == "fetched"), canonical_type(F.col("shown")))
     basis = F.when(language.isNotNull(), F.when(F.col("told"), "detected").otherwise("probed"))
     proven = F.when((F.col("kind") == "program") & (language == "cobol"), "cobol-program").when((F.col("kind") == "program") & (language == "asm"), "assembler-program")
+    # what was not asked for is not joined: skipped rows share no name
+    skipped = plan.filter("status <> 'planned'").select(
+        "seq", "artifact", "kind", "dependency", "request", "status", "reason", none.alias("source"), none.alias("language"), none.alias("language_basis"), "classification"
+    )
     return out.select(
         "seq", "artifact", "kind", "dependency", "request", status.alias("status"), "reason", F.when(own, F.col("source")).alias("source"),
         language.alias("language"), basis.alias("language_basis"), F.coalesce(proven, "classification").alias("classification"),
-    )
+    ).unionByName(skipped)
 
 
 def status_counts(rows: DataFrame) -> DataFrame:
@@ -246,7 +267,7 @@ def prefetched(asks: DataFrame, local: DataFrame, seeded: DataFrame, answers: Da
     key = member_key(F.col("name"))
     inner = F.upper(F.regexp_extract(key, DATASET_MEMBER, 1))
     rows = asks.select("seq", "asked_type", key.alias("key"), F.when(inner != "", inner).otherwise(key).alias("member"), F.when(inner != "", key).alias("dataset"))
-    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("key", "asked_type").orderBy("seq")))
+    rows = with_first(rows, ["key", "asked_type"])
     rows = rows.join(seeded.select(member_key(F.col("member")).alias("key"), F.lit(True).alias("settled")).distinct(), "key", "left")
     best = local.groupBy(F.upper("member").alias("member")).agg(F.min_by("source", "rank").alias("local"))
     rows = rows.join(best, "member", "left")
@@ -257,7 +278,7 @@ def prefetched(asks: DataFrame, local: DataFrame, seeded: DataFrame, answers: Da
         rows = rows.alias("a").join(known.alias("b"), F.expr("a.member = b.name AND a.asked_type <=> b.asked_type"), "left")
         rows = rows.select("a.*", F.when(F.col("b.outcome") == "found", "fetched").otherwise(F.coalesce("b.outcome", F.lit("not-found"))).alias("outcome"), "b.source")
     status = (
-        F.when((F.col("nth") > 1) | F.col("settled"), "seen").when(F.col("dataset").isNull() & ~F.col("key").rlike(MEMBER_NAME), "skipped")
+        F.when(~F.col("is_first") | F.col("settled"), "seen").when(F.col("dataset").isNull() & ~F.col("key").rlike(MEMBER_NAME), "skipped")
         .when(F.col("local").isNotNull(), "local").otherwise(F.col("outcome"))
     )
     rows = rows.withColumn("status", status)
@@ -292,14 +313,15 @@ def dependents(asks: DataFrame, coverage: DataFrame, edges: DataFrame) -> DataFr
     asked = asks.select("seq", member_key(F.col("name")).alias("name"), kind.alias("kind"))
     one = covered.withColumn("kinds", F.count("*").over(W.partitionBy("key")))
     grade = F.expr("CASE WHEN kind <=> of THEN 0 WHEN of IS NULL THEN 1 WHEN kind IS NULL AND kinds = 1 THEN 2 END")
-    found = asked.join(one, F.expr("name = key")).withColumn("grade", grade).filter("grade IS NOT NULL")
-    found = found.groupBy("seq").agg(F.min(F.struct("grade", "key", "of")).alias("m")).select("seq", "m.key", "m.of", F.lit(True).alias("covered"))
+    found = asked.select("name", "kind").distinct().join(one, F.expr("name = key")).withColumn("grade", grade).filter("grade IS NOT NULL")
+    found = found.groupBy("name", "kind").agg(F.min(F.struct("grade", "key", "of")).alias("m")).select("name", "kind", "m.key", "m.of", F.lit(True).alias("covered"))
     coarse = manifest_kind(F.col("kind"))
     bad = coarse.isNull() | (F.coalesce(F.trim("name"), F.lit("")) == "") | (F.col("match_strength").isNotNull() & ~F.col("match_strength").isin(MATCH_STRENGTHS))
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     row = F.struct(member_key(F.col("name")).alias("name"), F.coalesce(blank("via"), F.lit("")).alias("via"), F.upper(F.trim("kind")).alias("kind"), coarse.alias("manifest_kind"), F.col("match_strength"), blank("detail").alias("detail"))
     grouped = edges.groupBy(member_key(F.col("of_name")).alias("key"), manifest_kind(F.col("of_kind")).alias("of")).agg(F.max(bad).alias("bad"), F.sort_array(F.collect_list(row)).alias("rows"))
-    out = asked.join(found, "seq", "left").alias("a").join(grouped.alias("g"), F.expr("a.key = g.key AND a.of <=> g.of"), "left")
+    held = asked.alias("q").join(found.alias("f"), F.expr("q.name = f.name AND q.kind <=> f.kind"), "left").select("q.*", "f.key", "f.of", "f.covered")
+    out = held.alias("a").join(grouped.alias("g"), F.expr("a.key = g.key AND a.of <=> g.of"), "left")
     status = F.when(F.col("covered").isNull(), "not-answered").when(F.col("bad"), "broken").otherwise("answered")
     rows = F.when(status == "answered", F.coalesce("rows", F.array()))
     return out.select("a.seq", "a.name", "a.kind", status.alias("answer_status"), rows.alias("rows"))

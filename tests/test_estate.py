@@ -39,6 +39,17 @@ def test_probing_stops_at_the_first_type_that_answers(spark):
     assert rows == [("fetched", "asm", "probed", "assembler-program"), ("already-fetched", None, None, None), ("fetched", "asm", "detected", "assembler-program")]
 
 
+def test_rows_that_repeat_their_seq_keep_their_own_answers(spark):
+    rows = [(7, n, "program", "runtime", None, False, None, None) for n in ("P", "Q", "P", "P", "R", "P")]
+    manifest = spark.createDataFrame(rows, "seq long, artifact string, kind string, dependency string, classification string, dynamic boolean, dataset string, ddname string")
+    answers = spark.createDataFrame([(1, "P", "asm", "found", "s", None), (1, "Q", "cobol", "error", None, None)], "seq long, name string, asked_type string, outcome string, source string, detected_type string")
+    store = spark.createDataFrame([("R", "cobol", 1, "t", "here")], "member string, asked_type string, ord long, text string, source string")
+    found = sorted((r["artifact"], r["status"], r["language"]) for r in estate.fetched(estate.fetch_plan(manifest), "X", store, answers).collect())
+    assert found == [("P", "already-fetched", None)] * 3 + [("P", "fetched", "asm"), ("Q", "error", None), ("R", "prefetched", None)]
+    asks = spark.createDataFrame([(1, "R", "cobol"), (1, "S", "cobol"), (1, "R", "asm")], "seq long, name string, asked_type string")
+    assert sorted((r["name"], r["asked_type"], r["hit"] is not None) for r in estate.stored(asks, store).collect()) == [("R", "asm", False), ("R", "cobol", True), ("S", "cobol", False)]
+
+
 def test_reachable_ends_in_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y")], "src string, dst string")
     start = spark.createDataFrame([("a",), ("x",), ("z",)], "root string")
