@@ -25,7 +25,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ PATH_ROWS, PATH_DIM = 1024, 12
 WORD_ROWS, WORD_DIM = 2048, 8
 COUNTS = 5
 HIDDEN = 16
-TRAIN_PAGES = 1400
+TRAIN_PAGES = 2000
 EPOCHS = 12
 BATCH = 28
 RATE = 0.01
@@ -59,10 +59,16 @@ HIDDEN_TEXT = frozenset("script style title textarea noscript template iframe ob
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BORDERS - frozenset("body button caption head html optgroup option tbody td tfoot th thead tr".split())
 
-TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>)""", re.S)
+#: Of a tag only its name; comments and declarations whole.
+OPEN = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/><]*+))", re.S)
+#: What follows the name: with quoted values, which may hold a >, and without regard to quotes. Neither tries twice.
+QUOTED = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+LOOSE = re.compile(r"([^>]*+)>")
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in HIDDEN_TEXT}
+END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in HIDDEN_TEXT}
+#: Of the elements above those where a slash before the > ends the element; HTML gives it no meaning elsewhere.
+FOREIGN = frozenset("svg math".split())
 
 
 class Paths:
@@ -92,7 +98,12 @@ class Block:
 
 
 def blocks(page: str | None, paths: Paths) -> list[Block]:
-    """The text blocks of a page in order."""
+    """The text blocks of a page in order, in time that grows with the page's length.
+
+    Tags end as in HTML: quoted values may hold a >, a slash ends nothing but
+    void and foreign elements, an unfinished last tag is no text. If a quote is
+    never closed, quotes have no meaning from that tag on.
+    """
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, int]] = []
@@ -129,15 +140,23 @@ def blocks(page: str | None, paths: Paths) -> list[Block]:
             if tag == name:
                 return
 
-    end = len(page)
+    end, last = len(page), page.rfind(">")
+    rest = QUOTED
     while at < end:
-        m = TAG.search(page, at)
+        m = OPEN.search(page, at)
         add(page[at : m.start()] if m else page[at:])
         if not m:
             break
         at = m.end()
         if m[2] is None:
             continue
+        if at > last:  # no tag ends after here
+            break
+        attributes = rest.match(page, at)
+        if not attributes:  # a quote that never ends: from here on quotes hide nothing, so no place is read again and again
+            rest = LOOSE
+            attributes = rest.match(page, at)
+        at = attributes.end()
         tag = m[2].lower()
         if m[1]:
             if depth.get(tag):
@@ -155,7 +174,7 @@ def blocks(page: str | None, paths: Paths) -> list[Block]:
                 pop_to("li")
         if tag == "br":
             add(" ")
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or (tag in FOREIGN and attributes[1].endswith("/")):
             continue
         if tag in HIDDEN_TEXT:
             close = END[tag].search(page, at)
@@ -164,7 +183,7 @@ def blocks(page: str | None, paths: Paths) -> list[Block]:
         stack.append((tag, path))
         depth[tag] = depth.get(tag, 0) + 1
         links += tag == "a"
-        path = paths.child(path, tag, m[3])
+        path = paths.child(path, tag, attributes[1])
     flush()
     return out
 
@@ -180,9 +199,12 @@ def word_row(word: str) -> int:
 class Features:
     """Blocks as arrays: rows of path and word vectors with where each path or block begins, and counts."""
 
-    path: np.ndarray  # of each block, among the paths
-    path_rows: np.ndarray
+    path: np.ndarray  # of each block, among all paths
+    parents: np.ndarray  # a path's parent comes before it
+    levels: list[np.ndarray]  # the paths of each depth that has any
+    path_rows: np.ndarray  # of a path's own last element
     path_owner: np.ndarray
+    path_sizes: np.ndarray  # elements' names on the whole path
     n_paths: int
     word_rows: np.ndarray
     word_owner: np.ndarray
@@ -190,16 +212,27 @@ class Features:
 
 
 def features(found: list[Block], paths: Paths, memo: dict[str, int]) -> Features:
-    used = sorted({b.path for b in found})
-    place = {p: i for i, p in enumerate(used)}
-    rows, owner = [], []
-    for p in used:
-        i = place[p]
-        while p:
-            rows += paths.rows[p]
-            owner += [i] * len(paths.rows[p])
+    used: set[int] = set()
+    for p in {b.path for b in found}:
+        while p not in used:
+            used.add(p)
             p = paths.parent[p]
-    words, of, sizes = [], [], []
+    ordered = sorted(used | {0})
+    place = {p: i for i, p in enumerate(ordered)}
+    parents = np.array([place[paths.parent[p]] for p in ordered])
+    rows = [r for p in ordered for r in paths.rows[p]]
+    own = np.array([len(paths.rows[p]) for p in ordered])
+    owner = np.repeat(np.arange(len(ordered)), own)
+    whole = own.tolist()
+    steps = [0] * len(ordered)
+    for i, up in enumerate(parents.tolist()):
+        if i:
+            steps[i] = steps[up] + 1
+            whole[i] += whole[up]
+    depth = np.array(steps)
+    by_depth = np.argsort(depth, kind="stable")
+    levels = np.split(by_depth, np.flatnonzero(np.diff(depth[by_depth])) + 1)[1:]
+    words, sizes = [], []
     for b in found:
         ws = b.text.split()
         for w in ws:
@@ -217,19 +250,24 @@ def features(found: list[Block], paths: Paths, memo: dict[str, int]) -> Features
     ended = np.array([b.text[-1] in ".!?…\"”»" for b in found], float)
     counts = np.stack((np.log1p(sizes) / 4, linked / chars, np.minimum(stops / sizes, 1), ended, (sizes > 12).astype(float)), axis=1).astype(np.float32)
     of = np.repeat(np.arange(len(found)), sizes)
-    return Features(np.array([place[b.path] for b in found]), np.array(rows, int), np.array(owner, int), len(used), np.array(words, int), of, counts)
+    path = np.array([place[b.path] for b in found])
+    return Features(path, parents, levels, np.array(rows, int), owner, np.array(whole), len(ordered), np.array(words, int), of, counts)
 
 
-def mean_rows(table: np.ndarray, rows: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """The mean of the table's ``rows`` of each owner; owners ascend, and those without rows get zeros."""
+def sum_rows(table: np.ndarray, rows: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the table's ``rows`` of each owner; owners ascend, and those without rows get zeros."""
     out = np.zeros((n, table.shape[1]), table.dtype)
     if len(rows):
         first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-        size = np.diff(np.append(first, len(owner)))
-        out[owner[first]] = np.add.reduceat(table[rows], first, axis=0) / size[:, None].astype(table.dtype)
+        out[owner[first]] = np.add.reduceat(table[rows], first, axis=0)
     return out
 
 
+def mean_rows(table: np.ndarray, rows: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """The mean of the table's ``rows`` of each owner."""
+    return sum_rows(table, rows, owner, n) / np.maximum(np.bincount(owner, minlength=n), 1)[:, None].astype(table.dtype)
+
+
 # ---- the network
 
 
@@ -302,7 +340,10 @@ def layout(lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def vectors(p: dict[str, np.ndarray], f: Features) -> np.ndarray:
-    path = mean_rows(p["path"], f.path_rows, f.path_owner, f.n_paths)[f.path]
+    sums = sum_rows(p["path"], f.path_rows, f.path_owner, f.n_paths)
+    for level in f.levels:  # a path's sum is its parent's and its own
+        sums[level] += sums[f.parents[level]]
+    path = (sums / np.maximum(f.path_sizes, 1)[:, None].astype(sums.dtype))[f.path]
     return np.concatenate((path, mean_rows(p["word"], f.word_rows, f.word_owner, len(f.path)), f.counts), axis=1)
 
 
@@ -331,7 +372,9 @@ def gradients(p: dict[str, np.ndarray], f: Features, lengths: list[int], y: np.n
         di, g[f"wx{side}"], g[f"wh{side}"], g[f"bias{side}"] = lstm_back(x[index], grad, p[f"wx{side}"], p[f"wh{side}"], kept[side])
         dx[index[mask]] += di[mask]
     by_path = np.stack([np.bincount(f.path, dx[:, d], f.n_paths) for d in range(PATH_DIM)], axis=1)
-    by_path /= np.maximum(np.bincount(f.path_owner, minlength=f.n_paths), 1)[:, None]
+    by_path /= np.maximum(f.path_sizes, 1)[:, None]
+    for level in reversed(f.levels):
+        np.add.at(by_path, f.parents[level], by_path[level])
     g["path"] = np.stack([np.bincount(f.path_rows, by_path[f.path_owner, d], PATH_ROWS) for d in range(PATH_DIM)], axis=1)
     by_block = dx[:, PATH_DIM : PATH_DIM + WORD_DIM] / np.maximum(np.bincount(f.word_owner, minlength=len(x)), 1)[:, None]
     g["word"] = np.stack([np.bincount(f.word_rows, by_block[f.word_owner, d], WORD_ROWS) for d in range(WORD_DIM)], axis=1)
@@ -357,6 +400,9 @@ ASIDE = {
 }
 
 
+SIDES = "left right top main site page inner wrap area list block region col".split()
+
+
 class Author:
     """Writes pages as (html, is each text block main text); the blocks come in the order ``blocks`` finds them."""
 
@@ -383,8 +429,11 @@ class Author:
         return self.rng.choice(SMALL) if self.rng.random() < 0.6 else self.word().capitalize()
 
     def named(self, kind: str) -> str:
-        name = self.rng.choice(ASIDE[kind].split()) if kind in ASIDE else self.rng.choice(MAIN)
-        name += self.rng.choice(("", "", "", "-1", " box", " clearfix"))
+        r = self.rng
+        name = r.choice(ASIDE[kind].split()) if kind in ASIDE else r.choice(MAIN)
+        if r.random() < 0.25:  # names of another make: what is around a block has to tell
+            name = r.choice((f"{r.choice(SIDES)}-{name}", f"{r.choice(SIDES)}{name}", f"{name}-{r.choice(SIDES)}", self.word()))
+        name += r.choice(("", "", "", "-1", " box", " clearfix"))
         return f' {self.rng.choice(("class", "class", "class", "id"))}="{name}"'
 
     def links(self) -> tuple[str, list[int]]:
@@ -393,6 +442,12 @@ class Author:
             return "<ul>" + "".join(f'<li><a href="/{self.word()}">{self.label()}</a></li>' for _ in range(n)) + "</ul>", [0] * n
         return "<div>" + " | ".join(f'<a href="#">{self.label()}</a>' for _ in range(n)) + "</div>", [0]
 
+    def menu_links(self) -> tuple[str, list[int]]:
+        """Links of a menu, some without any element of their own around them."""
+        if self.rng.random() < 0.8:
+            return self.links()
+        return self.rng.choice((" ", "<br>", " &middot; ")).join(f'<a href="/{self.word()}">{self.label()}</a>' for _ in range(self.rng.randint(1, 8))), [0]
+
     def aside(self, kind: str) -> tuple[str, list[int]]:
         r = self.rng
         tag = {"menu": "nav", "footer": "footer", "header": "header", "sidebar": "aside", "form": "form"}.get(kind, "div")
@@ -408,7 +463,7 @@ class Author:
             y.append(0)
 
         if kind == "menu":
-            inner, n = self.links()
+            inner, n = self.menu_links()
             parts.append(inner)
             y += n
         elif kind in ("ad", "notice"):
@@ -424,6 +479,10 @@ class Author:
         elif kind == "comments":
             if r.random() < 0.8:
                 put(r.choice(("Comments", "Kommentare", "Commentaires", "3 comments", "Leave a reply", "Comentarios")), r.choice(("h2", "h3", "h4")))
+            if r.random() < 0.2:
+                n = r.randint(1, 4)
+                parts.append(f'<ol class="{r.choice(("commentlist", "comment-list", "replies"))}">' + "".join(f"<li><p>{self.prose(r.randint(1, 3))}</p></li>" for _ in range(n)) + "</ol>")
+                y += [0] * n
             for _ in range(r.randint(1, 5)):
                 box = r.random() < 0.6
                 parts.append(f'<div class="{r.choice(("comment", "reply", "comment-body"))}">' if box else "<div>")
@@ -525,6 +584,11 @@ class Author:
             inner = f"<div{self.named('main')}>{inner}</div>"
         elif x < 0.95:
             inner = f"<section>{inner}</section>"
+        if x > 0.9 and r.random() < 0.5:  # a page laid out by a table
+            rows, n = self.menu_links()
+            last = f"Copyright {self.sentence(2, 8)}"
+            inner = f"<table><tr><td{self.named('menu')}>{rows}</td><td{self.named('main')}>{inner}</td></tr><tr><td{self.named('footer')}>{last}</td></tr></table>"
+            y = [*n, *y, 0]
         if r.random() < 0.2:
             inner = f'<div class="{r.choice(("wrapper", "container", "page", "row", "site"))}">{inner}</div>'
         before, after = [], []
@@ -539,8 +603,9 @@ class Author:
         return f"<!DOCTYPE html><html><head><title>{self.word()}</title><style>p{{}}</style></head><body>{text}</body></html>", labels
 
 
+@cache
 def trained() -> dict[str, np.ndarray]:
-    """The network after a fixed number of Adam steps on generated pages."""
+    """The network after a fixed number of Adam steps on generated pages; fitted once in a process."""
     author = Author(SEED)
     pages, paths, memo = [], Paths(), {}
     for _ in range(TRAIN_PAGES):

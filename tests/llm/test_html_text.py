@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -19,9 +21,33 @@ def test_blocks_of_a_broken_page():
     assert [b.linked for b in found] == [0, 3, 0, 0, 0, 0, 0]
 
 
+def texts_of(page):
+    return [b.text for b in h.blocks(page, h.Paths())]
+
+
+def test_slashes_end_no_hidden_text():
+    assert texts_of("<p>A</p><script src=/x/>var secret=1;</script><style media=a/>p{}</style><textarea/>typed</textarea><p>B<svg/>C") == ["A", "BC"]
+    assert texts_of("<div/><a href=/x/>linked</a> rest") == ["linked rest"]
+    assert [b.linked for b in h.blocks("<a href=/x/>linked</a> rest", h.Paths())] == [6]
+
+
+def test_broken_tags_take_no_longer_than_others():
+    began = time.time()
+    mb = 1 << 20
+    assert texts_of("<a" * (mb // 2)) == []
+    assert texts_of("x" + "<a" * (mb // 2) + ">y") == ["xy"]
+    assert texts_of("<p>x" + '<a ">"' * (mb // 6) + '"<p>y')[-1] == "y"
+    assert texts_of("<p>x" + "<a '" * (mb // 4 | 1) + "<p>y") == ["xy"]
+    assert texts_of("</script " * (mb // 9)) == []
+    assert texts_of("a<script>" + "</script " * (mb // 9)) == ["a"]
+    assert len(texts_of("<div>x" * 50_000)) == 50_000
+    assert texts_of("< " * (mb // 2))[0][:3] == "< <"
+    assert time.time() - began < 20
+
+
 def test_whole_very_long_and_deep_pages(model):
     long = "<article>" + "<p>" + "some words of prose, as usual. " * 20000 + "</p></article>"
-    deep = "<div>" * 3000 + "x"
+    deep = "<div>x" * 30_000
     texts = h.main_texts(model, [long, deep, None, "", "  <p> </p>"], {})
     assert texts[0] == " ".join(("some words of prose, as usual. " * 20000).split())
     assert texts[2:] == ["", "", ""]
@@ -46,6 +72,27 @@ def test_pages_in_one_batch_or_alone_give_the_same(model):
     assert h.main_texts(model, pages, {}) == [h.main_texts(model, [p], {})[0] for p in pages]
 
 
+LAYOUTS = [
+    """<body bgcolor="#fff"><table width="100%"><tr><td class="leftnav"><a href="/">Start</a><br><a href="/b">Books</a><br><a href="/c">Cards</a></td>
+    <td class="maincol"><h2>{0}</h2><p>{1}</p><p>{2}</p></td></tr><tr><td colspan="2" class="copyright">Copyright 1999 All rights reserved</td></tr></table></body>""",
+    """<body><div id="masthead"><a href="/">The Paper</a></div><div id="top-nav"><ul><li><a href="/w">World</a></li><li><a href="/s">Sport</a></li></ul></div>
+    <div id="content" role="main"><div class="hentry"><h1 class="entry-title">{0}</h1><div class="entry-content"><p>{1}</p><div class="sharedaddy"><a href="#">Share</a></div><p>{2}</p></div></div>
+    <div id="comments"><h3>2 thoughts</h3><ol class="commentlist"><li><p>Nice one, thanks.</p></li></ol></div></div><div id="colophon">Proudly powered by a press</div></body>""",
+    """<body><header><nav><a href="/">Home</a> <a href="/docs">Docs</a></nav></header><main><article><h1>{0}</h1><p>{1}</p><aside class="newsletter"><p>Subscribe to our newsletter</p></aside>
+    <p>{2}</p></article></main><footer><p>&copy; 2024 The Company</p><a href="/privacy">Privacy</a></footer></body>""",
+]
+
+
+def test_layouts_of_another_make(model):
+    text = ["How the river was crossed in winter", "The ice was thick enough, they said, but nobody had measured it since the frost began. A man with a pole went first.", "When he came back, wet to the knees, the others had already turned for home; it was the end of the plan."]
+    kept = lost = wrong = 0
+    for layout in LAYOUTS:
+        found = h.main_texts(model, [layout.format(*text)], {})[0].split("\n")
+        kept, lost, wrong = kept + sum(x in found for x in text), lost + sum(x not in found for x in text), wrong + sum(x not in text for x in found)
+    print("kept", kept, "lost", lost, "wrong", wrong)
+    assert kept >= 8 and wrong <= 2
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(1)
     author, paths, found, lengths = h.Author(3), h.Paths(), [], []
