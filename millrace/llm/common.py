@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space: a word is a longest run of other characters.
 SPACES = "\t\n\x0b\x0c\r "
+#: A key with more rows than this and than its share of HOT_KEYS is looked up by broadcast.
+HOT_ROWS, HOT_KEYS = 1 << 12, 1 << 16
 #: Largest table, in bytes, that an operator broadcasts after measuring it.
 BROADCAST_BYTES = 32 << 20
 
@@ -46,6 +48,20 @@ def joined(left: DataFrame, right: DataFrame, on, how: str, right_bytes: int) ->
     return left.join(F.broadcast(right) if right_bytes <= BROADCAST_BYTES else right, on, how)
 
 
+def looked_up(rows: DataFrame, found: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``found``, which has one row a ``key`` and in ``n`` how many rows have that key, ``total`` in all.
+
+    A key of more than a ``HOT_KEYS``-th of the rows would be one task's work:
+    those keys, at most ``HOT_KEYS``, are broadcast; the others are shuffled.
+    """
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    if total <= limit:
+        return rows.join(found.drop("n"), key)
+    hot = F.broadcast(found.filter(F.col("n") > limit).drop("n"))
+    cold = found.filter(F.col("n") <= limit).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def with_spaces(text: Column) -> Column:
     """Every ASCII white-space character of ``text`` as a blank (byte replaces, no regex)."""
     for c in SPACES[:-1]:

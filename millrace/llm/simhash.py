@@ -231,11 +231,11 @@ def near_links(nodes: DataFrame, n: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of ``links``; alternating large-star and small-star rounds."""
 
-    def star(edges: DataFrame, low: bool) -> DataFrame:
+    def star(edges: DataFrame, low: bool, n: int) -> DataFrame:
         """Points the neighbours of each node (the larger ones, or the smaller ones and itself) at its smallest neighbour."""
         both = edges if low else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.join(lowest, "u")
+        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        out = common.looked_up(both, lowest, "u", 2 * n)
         if low:
             out = out.select("v", "m").unionByName(lowest.select(F.col("u").alias("v"), "m"))
         else:
@@ -243,45 +243,59 @@ def components(links: DataFrame) -> DataFrame:
         return out.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    before = None
+    before, n = None, links.count()
     while True:
-        edges = common.cut(star(star(edges, low=False), low=True), "stars")
+        # neither star makes more edges than the nodes and edges before it
+        edges = common.cut(star(star(edges, low=False, n=n), low=True, n=2 * n), "stars")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
+        before, n = state, state[0]
 
 
 def component_of(rows: DataFrame, best: str) -> DataFrame:
-    """(fp, best): for every fingerprint of ``rows`` the smallest ``best`` in its component."""
-    nodes = common.cut(rows.groupBy("fp").agg(F.min(best).alias(best)), "simhash-nodes")
-    links = common.cut(near_links(nodes, nodes.count()), "simhash-links")
+    """(fp, best, n): for every fingerprint of ``rows`` the smallest ``best`` in its component, and the rows that have it."""
+    nodes = common.cut(rows.groupBy("fp").agg(F.min(best).alias(best), F.count("*").alias("n")), "simhash-nodes")
+    total = nodes.count()
+    links = common.cut(near_links(nodes, total), "simhash-links")
     if links.isEmpty():
         return nodes
     roots = components(links.select("a", "b"))
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     linked = common.cut(nodes.join(roots, nodes.fp == roots.node).select("fp", "root", best), "simhash-roots")
-    lowest = linked.groupBy("root").agg(F.min(best).alias("low"))
-    low = linked.join(lowest, "root").select(F.col("fp").alias("node"), "low")
-    return nodes.join(low, nodes.fp == low.node, "left").select("fp", F.when(F.col("node").isNull(), F.col(best)).otherwise(F.col("low")).alias(best))
+    lowest = linked.groupBy("root").agg(F.min(best).alias("low"), F.count("*").alias("n"))
+    low = common.looked_up(linked, lowest, "root", total).select(F.col("fp").alias("node"), "low")
+    return nodes.join(low, nodes.fp == low.node, "left").select("fp", F.when(F.col("node").isNull(), F.col(best)).otherwise(F.col("low")).alias(best), "n")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs``."""
     rows = common.cut(fingerprinted(docs.select("doc_id", "text")), "simhash-rows")
     best = component_of(rows, "doc_id").withColumnRenamed("doc_id", "component_id")
-    return rows.join(best, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = common.looked_up(rows, best, "fp", rows.count())
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """One row of each component: the one with the smallest doc_id (of rows repeating it, the first), all its columns.
+    """One row of each component, all its columns: the one with the smallest doc_id, null last.
 
-    The rows are written once with their ids: an id computed again in a second scan is another one where the file splits have changed.
+    Rows are known by doc_id and a digest of the text, which another scan finds
+    again, however its files are split. Of rows that share both, the one with
+    the least JSON form stays. Only fingerprints are written, never documents.
     """
-    rows = common.cut(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("d")), "simhash-docs")
-    fps = common.cut(fingerprinted(rows.select("rid", "d.doc_id", F.coalesce("d.text", F.lit("")).alias("text"))), "simhash-rows")
-    fps = fps.select("fp", "rid", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid").alias("best"))
-    best = component_of(fps.select("fp", "best"), "best").select("fp", F.col("best.rid").alias("stays"))
-    gone = common.cut(fps.join(best, "fp").filter("rid <> stays").select(F.col("rid").alias("gone")), "simhash-gone")
-    kept = common.joined(rows, gone, F.col("rid") == F.col("gone"), "left_anti", gone.count() * 16)
-    return kept.select("d.*")
+    rows = docs.select(F.struct("*").alias("d")).select("d", "d.doc_id", F.coalesce("d.text", F.lit("")).alias("text"))
+    rows = rows.select("d", "doc_id", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
+    keys = fingerprinted(rows.select("doc_id", "digest", "text")).groupBy("doc_id", "digest", "fp").agg(F.count("*").alias("rows"))
+    keys = common.cut(keys, "simhash-rows").withColumn("own", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    best = component_of(keys.select("fp", F.col("own").alias("best")), "best")
+    known = common.looked_up(keys, best, "fp", keys.count())
+    stays = F.col("own").eqNullSafe(F.col("best"))
+    apart = common.cut(known.filter(~stays | (F.col("rows") > 1)).select("doc_id", "digest", stays.alias("stays")), "simhash-gone")
+    n_gone, n_many = apart.agg(F.count_if(~F.col("stays")), F.count_if("stays")).first()
+    same = F.expr("a.doc_id <=> b.doc_id AND a.digest = b.digest")
+    rows = rows.drop("text").alias("a")
+    kept = common.joined(rows, apart.alias("b"), same, "left_anti", (n_gone + n_many) * 32).select("d.*")
+    if n_many:
+        many = common.joined(rows, apart.filter("stays").alias("b"), same, "left_semi", n_many * 32)
+        kept = kept.unionByName(many.groupBy("doc_id", "digest").agg(F.min_by("d", F.to_json("d")).alias("d")).select("d.*"))
+    return kept

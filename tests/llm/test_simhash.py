@@ -107,3 +107,18 @@ def test_links_of_dense_cells_span_the_components(monkeypatch):
     x, y = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None]) <= 3)
     assert np.array_equal(found, sh.forest(len(fp), x, y))
     assert (np.bitwise_count(fp[a] ^ fp[b]) <= 3).all() or len(a) == 0
+
+
+def test_hot_keys_are_looked_up_apart(spark, monkeypatch):
+    rows = corpus()
+    want = brute(rows)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((tuple(r) for r in sh.near_duplicates(df).collect()), key=repr) == want
+    assert sorted(r["doc_id"] for r in sh.dedup(df).collect()) == sorted({c for i, _, c in want if i is not None})
+
+
+def test_of_rows_that_share_id_and_text_one_stays(spark):
+    rows = [(1, "one two three four", "b", "s", 0), (1, "one two three four", "a", "t", 0), (1, "another text of its own here", "c", "s", 0), (None, None, "n", None, None), (None, "", "m", None, None), (None, None, "n", None, None)]
+    kept = sh.dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["doc_id"] or 0, r["lang"]) for r in kept) == [(0, "n"), (1, "a"), (1, "c")]
