@@ -3,7 +3,12 @@
 The cross-document rule hashes normalised lines, counts for each host the
 distinct documents that hold a line, removes lines above the limits, and
 rejects documents that lose most of their words that way. It is built of
-DataFrame functions only.
+DataFrame functions only. A line's limit is a small share of its host up to a
+fixed number of documents, so it does not grow with a large host.
+
+Texts are normalised once, to a table of line hashes of each distinct content.
+What a content loses is joined back by host and digest: to the counts alone
+for the report, to the documents for ``keep_good``.
 
 Cases with a defined result:
 * null text counts as empty; documents without words fail the base rules;
@@ -23,9 +28,10 @@ from pyspark.sql import functions as F
 from millrace.llm import common
 from millrace.llm.common import let
 
-#: A line is removed on a host where more documents than both of these hold it.
+#: A line is removed on a host where more documents hold it than MIN_LINE_DOCS and than HOST_SHARE of the host's, which counts up to MAX_LINE_DOCS.
 MIN_LINE_DOCS = 10
-HOST_SHARE = 0.1
+HOST_SHARE = 0.02
+MAX_LINE_DOCS = 1000
 #: A document is depleted with under this percentage of its words left.
 LEFT_PERCENT = 30
 MIN_WORDS = 20
@@ -34,14 +40,12 @@ WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 
 
-def normalised(line: Column) -> Column:
-    """Lower case, digit runs as one 0, white-space runs as one blank, trimmed."""
-    line = F.regexp_replace(F.lower(common.with_spaces(line)), "[0-9]+", "0")
-    return F.trim(F.regexp_replace(line, " {2,}", " "))
-
-
-def line_hash(line: Column) -> Column:
-    return F.xxhash64(normalised(line))
+def normalised_lines(text: Column) -> Column:
+    """The lines of ``text`` in lower case, digit runs as one 0, white-space runs as one blank, trimmed."""
+    for c in common.SPACES[:-1].replace("\n", ""):
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    text = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", "0"), " {2,}", " ")
+    return F.transform(F.split(text, "\n"), lambda x: F.trim(x))
 
 
 def repeated_words(words: Column) -> Column:
@@ -78,73 +82,74 @@ def lines_with_words(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
 
 
-def frequent_lines(docs: DataFrame) -> DataFrame:
-    """(host, hashes): for each host the hashes of the lines above its limits.
+def content_key(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("c1"), F.hash(text).alias("c2")]
 
-    A line above the share is in a tenth of its host's documents, so a host's
-    array is at most ten times the mean number of lines of its documents.
-    """
+
+def lost_lines(docs: DataFrame) -> DataFrame:
+    """(host, c1, c2, lost, n_lost): of every content that loses lines, their places in it and how many words they hold."""
     text = F.coalesce("text", F.lit(""))
-    each = docs.select(
-        F.col("source").alias("host"),
-        F.xxhash64(text).alias("c1"),
-        F.hash(text).alias("c2"),
-        F.array_distinct(F.transform(lines_with_words(text), line_hash)).alias("lines"),
-    )
+    words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+    # a line's hash says its host too
+    lines = F.transform(normalised_lines(text), lambda x: F.when(x != "", F.struct(F.xxhash64("source", x).alias("line"), words(x).alias("words"))))
+    each = docs.select(F.col("source").alias("host"), *content_key(text), lines.alias("lines"))
     contents = each.groupBy("host", "c1", "c2").agg(F.first("lines").alias("lines"))
-    contents = common.cut(contents.select("host", "lines"), "host-lines")
-    sizes = contents.groupBy("host").agg(F.count("*").alias("n_docs"))
-    counts = contents.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    counts = counts.filter(F.col("n") > MIN_LINE_DOCS)
-    above = counts.alias("a").join(sizes.alias("b"), F.expr("a.host <=> b.host AND a.n > b.n_docs * %s" % HOST_SHARE))
-    return above.groupBy("a.host").agg(F.sort_array(F.collect_set("a.line")).alias("hashes"))
-
-
-def with_frequent(docs: DataFrame) -> DataFrame:
-    """``docs`` as a struct ``d`` beside the array ``hashes`` of its host (null: none)."""
-    hot = common.cut(frequent_lines(docs), "frequent-lines")
-    size = hot.agg(F.sum(F.size("hashes") * 8 + 64)).first()[0] or 0
-    left = docs.select(F.struct("*").alias("d"))
-    return common.joined(left, hot.select(F.col("host").alias("h"), "hashes"), F.expr("d.source <=> h"), "left", size)
-
-
-def scored(docs: DataFrame) -> DataFrame:
-    """(d, counts..., base_failed, kept, left_text) for every row of ``docs``; ``left_text`` is the text without frequent lines."""
-    text = F.coalesce("d.text", F.lit(""))
+    contents = common.cut(contents, "host-lines")
+    sizes = common.cut(contents.groupBy("host").agg(F.count("*").alias("n_docs")), "host-sizes")
+    distinct = F.array_distinct(F.array_compact(F.transform("lines", lambda x: x["line"])))
+    counts = contents.select("host", F.explode(distinct).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    limit = F.least(F.col("b.n_docs") * F.lit(HOST_SHARE), F.lit(float(MAX_LINE_DOCS)))
+    above = common.joined(counts.filter(F.col("n") > MIN_LINE_DOCS).alias("a"), sizes.alias("b"), F.expr("a.host <=> b.host"), "inner", sizes.count() * 64)
+    hot = common.cut(above.filter(F.col("a.n") > limit).select("a.line", "a.n"), "frequent-lines")
+    n_hot, total = hot.agg(F.count("*"), F.sum("n")).first()
+    found = contents.select("host", "c1", "c2", F.posexplode("lines").alias("at", "x")).select("host", "c1", "c2", "at", "x.line", "x.words")
+    if n_hot * 16 <= common.BROADCAST_BYTES:
+        found = found.join(F.broadcast(hot.select("line")), "line")
+    else:
+        found = common.looked_up(found, hot, "line", total)
+    return found.groupBy("host", "c1", "c2").agg(F.sort_array(F.collect_list("at")).alias("lost"), F.sum("words").alias("n_lost"))
+
+
+def scored(docs: DataFrame, carried: Column) -> DataFrame:
+    """(d, counts..., base_failed, kept, lost) for every row of ``docs``; ``d`` is ``carried``, ``lost`` the places of its frequent lines or null."""
+    text = F.coalesce("text", F.lit(""))
     blank = common.with_spaces(text)
-    frequent = lambda x: F.array_contains(F.col("hashes"), line_hash(x))
-    n_words = lambda t: F.size(common.words(t))
-    lines = lines_with_words(text)
-    drops = F.col("hashes").isNotNull() & F.exists(lines, frequent)
-    df = with_frequent(docs).select(
-        "d",
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    df = docs.select(
+        carried.alias("d"), F.col("source").alias("host"), *content_key(text),
         common.words(text).alias("words"),
         F.length(F.replace(blank, F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
         (F.length(text) - F.length(common.without(text, SYMBOLS))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        F.when(drops, F.array_join(F.filter(F.split(text, "\n"), lambda x: ~frequent(x)), "\n")).otherwise(text).alias("left_text"),
-    )
+    )
     df = df.select(
-        "d", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
-        repeated_words(F.col("words")).alias("n_repeat_words"), "left_text",
+        "d", "host", "c1", "c2", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
+        repeated_words(F.col("words")).alias("n_repeat_words"),
     )
+    lost = common.cut(lost_lines(docs), "lost-lines")
+    size = lost.agg(F.sum(F.size("lost") * 4 + 64)).first()[0] or 0
+    df = common.joined(df.alias("a"), lost.alias("b"), F.expr("a.host <=> b.host AND a.c1 = b.c1 AND a.c2 = b.c2"), "left", size)
+    df = df.select("d", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost", F.coalesce("n_lost", F.lit(0)).alias("n_lost"))
     bad = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT)
-    depleted = n_words(F.col("left_text")) * 100 < F.col("n_words") * LEFT_PERCENT
+    depleted = (F.col("n_words") - F.col("n_lost")) * 100 < F.col("n_words") * LEFT_PERCENT
     return df.withColumn("base_failed", bad).withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: the counts and the verdict."""
-    return scored(docs.select("doc_id", "text", "source")).select(
-        "d.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    return scored(docs.select("doc_id", "text", "source"), F.col("doc_id")).select(
+        F.col("d").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The kept rows of ``docs`` with all their columns; frequent lines are gone from ``text``, and ``n_chars`` follows."""
     # a predicate over a plain projection would be evaluated below it, with the words split anew at each of their uses
-    df = scored(docs).withColumn("row", F.monotonically_increasing_id()).filter((F.col("row") >= 0) & F.col("kept"))
-    new = {"text": F.when(F.col("d.text").isNotNull(), F.col("left_text")), "n_chars": F.length("left_text").cast("long")}
+    df = scored(docs, F.struct("*")).withColumn("row", F.monotonically_increasing_id()).filter((F.col("row") >= 0) & F.col("kept"))
+    stays = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("lost"))
+    left = let(F.split(F.col("d.text"), "\n"), lambda x: F.array_join(F.transform(stays(x), lambda i: F.get(x, i)), "\n"))
+    df = df.withColumn("left_text", F.when(F.col("lost").isNull(), F.col("d.text")).otherwise(left))
+    new = {"text": F.col("left_text"), "n_chars": F.length(F.coalesce("left_text", F.lit(""))).cast("long")}
     return df.select(*[(new[c] if c in new else F.col("d")[c]).alias(c) for c in docs.columns])
 
 
@@ -168,7 +173,7 @@ freq AS (
   SELECT c.source, lw.norm, count(DISTINCT lw.rid) AS n FROM lw JOIN contents c ON lw.rid = c.rid GROUP BY c.source, lw.norm),
 hot AS (
   SELECT f.source, f.norm FROM freq f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source
-  WHERE f.n > 10 AND f.n > h.n_docs * 0.1),
+  WHERE f.n > 10 AND f.n > least(h.n_docs * 0.02, 1000)),
 lost AS (
   SELECT lw.rid, sum(len(list_filter(regexp_split_to_array(lw.line, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS n
   FROM lw JOIN d ON d.rid = lw.rid JOIN hot ON hot.norm = lw.norm AND hot.source IS NOT DISTINCT FROM d.source

@@ -3,7 +3,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
-from millrace.llm import mixing, quality_rules as qr
+from millrace.llm import common, mixing, quality_rules as qr
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -46,7 +46,7 @@ def frequent(rows):
     hot = {}
     for s, texts in hosts.items():
         n = Counter(x for t in texts for x in {normal(y) for y in t.split("\n") if WORD.search(y)})
-        hot[s] = {x for x, k in n.items() if k > qr.MIN_LINE_DOCS and k > len(texts) * qr.HOST_SHARE}
+        hot[s] = {x for x, k in n.items() if k > qr.MIN_LINE_DOCS and k > min(len(texts) * qr.HOST_SHARE, qr.MAX_LINE_DOCS)}
     return hot
 
 
@@ -70,6 +70,41 @@ def test_quality_report_equals_brute_force(spark):
     assert qr.quality_report(df.limit(0)).collect() == []
 
 
+def test_boilerplate_of_a_large_host_goes_and_clean_documents_stay(spark, monkeypatch):
+    monkeypatch.setattr(qr, "MAX_LINE_DOCS", 30)
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choices("aeiourst", k=5)) for _ in range(n))
+    notice = ["All rights are reserved by the makers of this very page and its friends, see page 7.", "You have to be signed in, in order to read the rest of what stands here today."]
+    clean = [(i, prose(40) + "\n" + prose(20), "en", "big", 0) for i in range(2000)]
+    framed = [(3000 + i, f"{notice[0]}\n{prose(60)}", "en", "big", 0) for i in range(20)]
+    bare = [(4000 + i, "\n".join([*notice, *notice]) + f"\nnr {prose(2)}", "en", "big", 0) for i in range(40)]
+    rows = clean + framed + bare
+    kept = {r["doc_id"]: r["text"] for r in qr.keep_good(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert set(kept) == {r[0] for r in clean + framed}
+    assert all(kept[r[0]] == r[1] for r in clean) and all(kept[r[0]] == r[1].split("\n")[1] for r in framed)
+
+
+def test_hot_lines_are_looked_up_apart(spark, monkeypatch):
+    rows = corpus()
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(map(tuple, qr.quality_report(df).collect()), key=repr)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    assert sorted(map(tuple, qr.quality_report(df).collect()), key=repr) == want
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    long = "\n".join(" ".join(f"v{i}x{j}" for j in range(9)) for i in range(20_000))
+    rows = [(1, long, "en", "s", 0), (2, None, None, None, None), (3, "x y " * 100_000, "en", "s", 0)]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4, 5, 6) for r in rows], SCHEMA + ", size long, key long, rid long, copies long, lost long, host long")
+    found = {r["doc_id"]: r for r in qr.quality_report(df).collect()}
+    assert (found[1]["n_words"], found[1]["kept"]) == (180_000, True) and (found[3]["n_repeat_words"], found[3]["kept"]) == (200_000, False)
+    assert [(r["doc_id"], r["text"], r["lost"]) for r in qr.keep_good(df).collect()] == [(1, long, 5)]
+    mix = {r["doc_id"]: (r["size"], r["taken"]) for r in mixing.mix_plan(df).collect()}
+    assert mix[1][0] == 180_000 and mix[2] == (0, 0) and mix[3][0] == 200_000
+    assert {(r["size"], r["key"], r["rid"], r["copies"]) for r in mixing.mixed(df).collect()} == {(1, 2, 3, 4)}
+
+
 def targets(sizes):
     order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode("utf-32-be")) + ([None] if None in sizes else [])
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
