@@ -16,7 +16,7 @@ that holds the source's limit is ordered row by row.
 Cases with a defined result: null text has size 0; a null source comes last
 in the code-point order and has a weight like any other; sources without words
 get target 0; ties of a key go by doc_id and size, and rows equal in all of
-these are interchangeable; an empty table gives an empty result. Everything
+these (id and text too) are interchangeable; an empty table gives an empty result. Everything
 here is DataFrame functions.
 """
 
@@ -42,9 +42,9 @@ def quality(text: Column, size: Column) -> Column:
     return F.when(size == 0, 0.25).when(symbols * 20 > chars, 0.25).when(symbols * 100 > chars, 0.5).otherwise(1.0)
 
 
-def uniform(doc_id: Column) -> Column:
-    """Seeded uniform in (0, 1), a function of doc_id."""
-    digest = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def uniform(doc_id: Column, text: Column) -> Column:
+    """Seeded uniform in (0, 1), a function of doc_id and text: rows that share an id, or have none, still spread over the keys."""
+    digest = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(text.cast("binary"))))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
@@ -52,14 +52,14 @@ def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, key) of every row, plus ``d``, all columns of the row, if asked for by ``mixed``."""
     text = F.coalesce("d.text", F.lit(""))
     size = F.size(common.words(text)).cast("long")
-    return docs.withColumn("size", size).withColumn("key", -F.log(uniform(F.col("d.doc_id"))) / quality(text, F.col("size")))
+    return docs.withColumn("size", size).withColumn("key", -F.log(uniform(F.col("d.doc_id"), text)) / quality(text, F.col("size")))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size, target, epochs, budget) from (source, source_size).
 
-    One row per source; the two windows over all of them are over that small
-    table. Filling sources in the order of limit over weight is what repeated
+    One row per source; the windows over all of them, in one task, are over that
+    table. So sources are labels, thousands at most, not hosts. Filling sources in the order of limit over weight is what repeated
     resharing of the excess ends in.
     """
     order = W.orderBy(F.col("source").asc_nulls_last())
@@ -148,7 +148,7 @@ WITH w AS (
 q AS (
   SELECT doc_id, source, size, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS symbols,
-    (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
+    (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(text)), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
   FROM w),
 k AS (
   SELECT doc_id, source, size,
