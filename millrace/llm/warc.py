@@ -40,7 +40,7 @@ from millrace.llm import common
 MIN_REVISIT = 1000
 #: A task begins a new archive beyond this size.
 ARCHIVE_BYTES = 512 << 20
-#: Records of one file this close together are fetched by one read, up to RANGE_BYTES; SPLIT_BYTES of a file go to one task.
+#: Records of one file this close together are fetched by one read, up to RANGE_BYTES; a task reads about SPLIT_BYTES.
 GAP_BYTES = 64 << 10
 RANGE_BYTES = 8 << 20
 SPLIT_BYTES = 64 << 20
@@ -179,8 +179,11 @@ def _read(with_payload: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 
 def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records of the given index rows; payload digests of responses are computed anew, those of revisits are the stated ones."""
-    place = F.floor(F.col("offset") / SPLIT_BYTES)
-    rows = index.select("file", "offset", "length").repartition("file", place).sortWithinPartitions("file", "offset")
+    rows = index.select("file", "offset", "length")
+    # index rows are narrow and what they stand for is not: tasks are counted by the bytes to read
+    total = rows.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-total // SPLIT_BYTES), 2 * index.sparkSession.sparkContext.defaultParallelism)
+    rows = rows.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return map_arrow(rows, partial(_read, with_payload), RECORD + (", payload binary" if with_payload else ""))
 
 
