@@ -35,6 +35,8 @@ from millrace.llm import common
 SHARDS = 16
 BUCKET_BYTES = 32 << 20
 GRANULES = 1 << 16
+#: Tasks of the second pass at most; beyond, a task takes several buckets one after another.
+MAX_TASKS = 1 << 16
 SEED = 20240607
 LAW = "key"
 EMIT_BYTES = 4 << 20
@@ -107,7 +109,9 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, bucket_bytes:
     sums = granules.groupBy("shard", bucket).agg(F.sum("n").alias("n"))
     offset = (F.sum("n").over(W.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("offset")
     offsets = common.cut(sums.select("shard", "bucket", offset), "offsets")
-    placed = placed.select("d", "shard", "grown_shard", "size", "crc", bucket).repartition("shard", "bucket")
+    # as many tasks as buckets, twice as hashes collide: a number left to the session would put many buckets into one task
+    tasks = min(2 * shards * buckets, MAX_TASKS)
+    placed = placed.select("d", "shard", "grown_shard", "size", "crc", bucket).repartition(tasks, "shard", "bucket")
     placed = common.joined(placed, offsets, ["shard", "bucket"], "inner", shards * buckets * 48)
     placed = placed.select("shard", "bucket", "offset", "grown_shard", "size", "crc", "d").sortWithinPartitions("shard", "bucket", "d.doc_id", "crc", "size").drop("size", "crc")
     columns = ["d", "shard", "grown_shard"]

@@ -1,8 +1,12 @@
 import hashlib
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import xxhash
+
 from millrace.llm import common, sharding, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -39,6 +43,35 @@ def test_shards(spark):
     assert sharding.sharded(df.limit(0)).collect() == []
 
 
+def brute_shard(key, shards):
+    def draw(s):
+        h = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), seed=42)
+        for x in (s, sharding.SEED):
+            h = xxhash.xxh64_intdigest(struct.pack("<i", x), seed=h)
+        return h - (1 << 64) if h >> 63 else h, s
+
+    return max(map(draw, range(shards)))[1]
+
+
+def test_shards_and_slots_equal_brute_force(spark):
+    rows = documents()
+    groups = defaultdict(list)
+    for r in rows:
+        groups[brute_shard(r[0], 16)].append((r[0], zlib.crc32((r[1] or "").encode())))
+    want = Counter()
+    for shard, group in groups.items():
+        group.sort(key=lambda x: (x[0] is not None, x))
+        order = np.random.default_rng([sharding.SEED, shard, 0]).permutation(len(group))
+        want.update((*group[i], shard, slot, brute_shard(group[i][0], 17)) for slot, i in enumerate(order.tolist()))
+    found = sharding.sharded(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter((r["doc_id"], r["text_crc32"], r["shard"], r["slot"], r["grown_shard"]) for r in found) == want
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "long é " * 2_000_000, "en", "s", 0), *documents()]
+    check_shards(rows, sharding.sharded(spark.createDataFrame(rows, SCHEMA)).collect())
+
+
 def test_small_buckets_and_a_heavy_id(spark):
     rows = documents() + [(1, "the same id " * 20, "en", "s", 0)] * 300
     df = spark.createDataFrame([(*r, 5, 6) for r in rows], SCHEMA + ", shard int, slot int")
