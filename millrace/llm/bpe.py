@@ -28,6 +28,8 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import cache, partial
 from itertools import chain, groupby
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 from millrace.functions.shipping import map_arrow
 
 #: Words whose ids a worker remembers from one group of texts to the next.
-MEMO = 300_000
+MEMO = 120_000
 #: Characters of text whose words are in memory at a time.
 GROUP = 2_000_000
 WORD_END = "</w>"
@@ -49,6 +51,8 @@ WORD_END = "</w>"
 LONG = 64
 #: Slots of the table of solved pairs.
 PAIR_SLOTS = 1 << 19
+#: Rows that go through the coder at a time.
+ROWS = 1024
 #: Added to the last byte of a word: the symbol that carries the mark.
 LAST = 256
 #: What the file's pattern calls white space.
@@ -135,18 +139,8 @@ class Bpe:
         vocab = model["vocab"]
         self.special = {x["content"]: x["id"] for x in doc["added_tokens"]}
         self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
-        #: by token id: its merge's place (-1: none) and the two ids that it merges
-        self.rank = dict.fromkeys(vocab.values(), -1)
-        self.parts = {i: (i, i) for i in vocab.values()}
-        self.merged: dict[tuple[int, int], int] = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            if a + b in vocab:
-                left, right, whole = vocab[a], vocab[b], vocab[a + b]
-                self.merged[left, right] = rank
-                self.rank[whole], self.parts[whole] = rank, (left, right)
         self.byte = {x: b for b, x in enumerate(byte_characters())}
-        self.read_vocabulary(vocab)
+        self.read_vocabulary(vocab, [x if isinstance(x, list) else x.split(" ") for x in model["merges"]])
         splits = [x["pattern"]["Regex"] for x in doc["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"]
         # below U+0250 letters and digits are listed: Python's re is fast, and no Unicode version moves them
         listed = splits[0].replace("\\p{L}", characters("L", FIRST_UNUSUAL)).replace("\\p{N}", characters("N", FIRST_UNUSUAL)).replace("\\s", SPACE)
@@ -160,99 +154,88 @@ class Bpe:
         self.normalizer, self.pre_tokenizer = whole.normalizer, whole.pre_tokenizer
         self.forget()
 
-    def read_vocabulary(self, vocab: dict[str, int]) -> None:
-        """The automaton, and for each of its states the tokens on its path of links, longest first."""
+    def read_vocabulary(self, vocab: dict[str, int], merges: list[list[str]]) -> None:
+        """Tables of merges by pair and by token, and of the automaton's steps, links and tokens; compact arrays, as each worker holds them."""
+        ids = max(vocab.values()) + 1
+        # by token: its symbols' number, its merge's place (-1: none) and the two tokens that it merges (itself: none)
+        self.length, self.rank = array("q", bytes(8 * ids)), array("q", [-1]) * ids
+        self.left, self.right = array("q", range(ids)), array("q", range(ids))
+        ranks = {}
+        for rank, (a, b) in enumerate(merges):
+            if a + b in vocab:
+                left, right, whole = vocab[a], vocab[b], vocab[a + b]
+                ranks[left << 20 | right] = rank
+                self.rank[whole], self.left[whole], self.right[whole] = rank, left, right
+        self.merge_keys = array("q", sorted(ranks))
+        self.merge_ranks = array("q", map(ranks.__getitem__, self.merge_keys))
+        self.never = len(merges) + 1
         spelled = []
-        for token in vocab:
+        for token, i in vocab.items():
             ends = token.endswith(WORD_END)
             symbols = [self.byte[x] for x in (token[: -len(WORD_END)] if ends else token)]
             symbols[-1] += LAST * ends
             spelled.append(symbols)
+            self.length[i] = len(symbols)
         automaton = SuffixAutomaton(spelled)
-        self.step, self.longest, self.link = automaton.step, automaton.longest, automaton.link
-        self.length = {i: len(x) for x, i in zip(spelled, vocab.values(), strict=True)}
-        own = {state: (len(x), i) for state, x, i in zip(automaton.final, spelled, vocab.values(), strict=True)}
-        self.ending: list[tuple[tuple[int, int], ...]] = [()] * len(self.link)
-        token, top = np.full(len(self.link), -1, np.int32), np.zeros(len(self.link), np.int32)
-        up = np.zeros(len(self.link), np.int32)
-        for state in sorted(range(1, len(self.link)), key=self.longest.__getitem__):
-            above = self.link[state]
-            if state in own:
-                self.ending[state] = (own[state], *self.ending[above])
-                token[state], top[state], up[state] = own[state][1], state, top[above]
-            else:
-                self.ending[state], top[state] = self.ending[above], top[above]
-        # the same as arrays; top: the nearest state with a token on the path of links, up: the next one after that
-        self.token, self.top, self.up = token, top, up
-        steps = sorted(self.step.items())
-        self.step_keys, self.step_to = np.array([k for k, _ in steps], np.int64), np.array([v for _, v in steps], np.int64)
-        self.links, self.longests = np.array(self.link, np.int64), np.array(self.longest, np.int64)
-        ids = max(vocab.values()) + 1
-        self.lengths, self.ranks = np.zeros(ids, np.int64), np.full(ids, -1, np.int64)
-        self.lefts, self.rights = np.arange(ids), np.arange(ids)
-        for i in vocab.values():
-            self.lengths[i], self.ranks[i], (self.lefts[i], self.rights[i]) = self.length[i], self.rank[i], self.parts[i]
-        merges = sorted((a << 20 | b, rank) for (a, b), rank in self.merged.items())
-        self.merge_keys, self.merge_ranks = np.array([k for k, _ in merges], np.int64), np.array([r for _, r in merges], np.int64)
+        self.step_keys = array("q", sorted(automaton.step))
+        self.step_to = array("q", map(automaton.step.__getitem__, self.step_keys))
+        self.longest, self.link = array("q", automaton.longest), array("q", automaton.link)
+        # by state: its token (-1: none); top: the nearest state with a token on its path of links, up: the next one after that
+        states = len(self.link)
+        self.token, self.top, self.up = array("q", [-1]) * states, array("q", bytes(8 * states)), array("q", bytes(8 * states))
+        for state, i in zip(automaton.final, vocab.values(), strict=True):
+            self.token[state] = i
+        for state in sorted(range(1, states), key=self.longest.__getitem__):
+            above = self.top[self.link[state]]
+            self.top[state], self.up[state] = (state, above) if self.token[state] >= 0 else (above, 0)
+        # numpy's view of each of them
+        self.np = {name: np.frombuffer(x, np.int64) for name, x in vars(self).items() if isinstance(x, array)}
         self.pair_keys, self.pair_fits = np.full(PAIR_SLOTS, -1, np.int64), np.zeros(PAIR_SLOTS, bool)
 
     def forget(self) -> None:
         """Drops what was remembered about texts."""
-        self.pair_memo: dict[int, bool] = {}
         #: by word: its ids, and the names of its tokens, both as text
         self.ids: dict[str, str] = {}
         self.shown: dict[str, str] = {}
 
     def fits(self, a: int, b: int) -> bool:
         """Whether merging leaves ``a`` and ``b`` side by side: no merge across their border comes before those that made them."""
-        key = a << 20 | b
-        found = self.pair_memo.get(key)
-        if found is None:
-            if len(self.pair_memo) >= MEMO:
-                self.pair_memo.clear()
-            found = self.pair_memo[key] = self.stay_apart(a, b)
-        return found
-
-    def stay_apart(self, a: int, b: int) -> bool:
-        rank, parts, merged = self.rank, self.parts, self.merged
-        limit = len(merged) + 1
+        rank, keys = self.rank, self.merge_keys
+        limit = self.never
         while True:
-            if merged.get((a, b), limit) < limit:
+            key = a << 20 | b
+            at = bisect_left(keys, key)
+            if at < len(keys) and keys[at] == key and self.merge_ranks[at] < limit:
                 return False
             ra, rb = rank[a], rank[b]
             if ra < 0 and rb < 0:
                 return True
             if ra > rb:
-                limit, a = ra, parts[a][1]
+                limit, a = ra, self.right[a]
             else:
-                limit, b = rb + 1, parts[b][0]
+                limit, b = rb + 1, self.left[b]
 
-    def word_ids(self, word: str) -> list[int]:
+    def word_ids(self, word: bytes) -> list[int]:
         """Ids of one word."""
-        symbols = [*word.encode()]
+        symbols = [*word]
         symbols[-1] += LAST
-        step, link, longest, ending, known = self.step, self.link, self.longest, self.ending, self.pair_memo.get
+        keys, link, longest, length = self.step_keys, self.link, self.longest, self.length
         last = [-1]  # last[i]: the last token of the prefix of i symbols
-        state = size = at = 0
-        for x in symbols:
-            at += 1
-            to = step.get(state << 9 | x)
-            while to is None:
+        state = size = 0
+        for at, x in enumerate(symbols, 1):
+            while True:
+                place = bisect_left(keys, state << 9 | x)
+                if place < len(keys) and keys[place] == state << 9 | x:
+                    break
                 state = link[state]
                 size = longest[state]
-                to = step.get(state << 9 | x)
-            state = to
-            size += 1
+            state, size = self.step_to[place], size + 1
             # of a state entered by a shorter part only what its link holds ends here
-            for length, token in ending[state] if size == longest[state] else ending[link[state]]:
-                if length == at:
-                    break
-                before = last[at - length]
-                fit = known(before << 20 | token)
-                if self.fits(before, token) if fit is None else fit:
-                    break
-            last.append(token)
-        ids, length = [], self.length
+            path = self.top[state if size == longest[state] else link[state]]
+            while length[self.token[path]] < at and not self.fits(last[at - length[self.token[path]]], self.token[path]):
+                path = self.up[path]
+            last.append(self.token[path])
+        ids, at = [], len(symbols)
         while at:
             ids.append(last[at])
             at -= length[last[at]]
@@ -260,24 +243,24 @@ class Bpe:
         return ids
 
     def all_stay_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """``stay_apart`` of many pairs."""
-        never = len(self.merge_keys) + 1
+        """``fits`` of many pairs."""
+        keys, merge_ranks, ranks, never = self.np["merge_keys"], self.np["merge_ranks"], self.np["rank"], self.never
         fits, at, limit = np.ones(len(a), bool), np.arange(len(a)), np.full(len(a), never)
         while len(at):
             key = a << 20 | b
-            place = np.minimum(np.searchsorted(self.merge_keys, key), len(self.merge_keys) - 1)
-            merged = np.where(self.merge_keys[place] == key, self.merge_ranks[place], never) < limit
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            merged = np.where(keys[place] == key, merge_ranks[place], never) < limit
             fits[at[merged]] = False
-            ra, rb = self.ranks[a], self.ranks[b]
+            ra, rb = ranks[a], ranks[b]
             on = ~merged & ((ra >= 0) | (rb >= 0))
             left = (ra > rb)[on]
             at, a, b, ra, rb = at[on], a[on], b[on], ra[on], rb[on]
             limit = np.where(left, ra, rb + 1)
-            a, b = np.where(left, self.rights[a], a), np.where(left, b, self.lefts[b])
+            a, b = np.where(left, self.np["right"][a], a), np.where(left, b, self.np["left"][b])
         return fits
 
     def all_fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """``fits`` of many pairs; what was solved stays in a table with one slot a hash."""
+        """The same; what was solved stays in a table with one slot a hash."""
         key = a << 20 | b
         slot = (key * 0x9E3779B97F4A7C1 >> 20) % PAIR_SLOTS
         fits, new = self.pair_fits[slot], self.pair_keys[slot] != key
@@ -297,6 +280,7 @@ class Bpe:
         order = np.argsort(-sizes, kind="stable")  # the words that go on are the first ones
         begins = begin[order]
         going = len(words) - np.cumsum(np.bincount(sizes))
+        keys, to, links, longests, tops, ups, tokens, lengths = (self.np[x] for x in ("step_keys", "step_to", "link", "longest", "top", "up", "token", "length"))
         last = np.zeros(len(symbols), np.int64)
         state, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         for at in range(len(going) - 1):
@@ -305,28 +289,28 @@ class Bpe:
             symbol, todo = symbols[start + at], np.arange(n)
             while len(todo):
                 key = state[todo] << 9 | symbol[todo]
-                place = np.minimum(np.searchsorted(self.step_keys, key), len(self.step_keys) - 1)
-                found = self.step_keys[place] == key
-                state[todo[found]] = self.step_to[place[found]]
+                place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                found = keys[place] == key
+                state[todo[found]] = to[place[found]]
                 size[todo[found]] += 1
                 todo = todo[~found]
-                state[todo] = self.links[state[todo]]
-                size[todo] = self.longests[state[todo]]
-            path = self.top[np.where(size == self.longests[state], state, self.links[state])]
+                state[todo] = links[state[todo]]
+                size[todo] = longests[state[todo]]
+            path = tops[np.where(size == longests[state], state, links[state])]
             todo = np.arange(n)
             while len(todo):
-                token = self.token[path[todo]].astype(np.int64)
-                length, end = self.lengths[token], start[todo] + at
+                token = tokens[path[todo]]
+                length, end = lengths[token], start[todo] + at
                 fits = length == at + 1
                 inner = np.flatnonzero(~fits)
                 fits[inner] = self.all_fit(last[end[inner] - length[inner]], token[inner])
                 last[end[fits]] = token[fits]
                 todo = todo[~fits]
-                path[todo] = self.up[path[todo]]
+                path[todo] = ups[path[todo]]
         chosen, at, first = np.zeros(len(symbols), bool), begin + sizes - 1, begin
         while len(at):
             chosen[at] = True
-            at = at - self.lengths[last[at]]
+            at = at - lengths[last[at]]
             on = at >= first
             at, first = at[on], first[on]
         return last[chosen], np.add.reduceat(chosen, begin, dtype=np.int64)
@@ -368,7 +352,7 @@ class Bpe:
             if word in self.special:
                 found[i] = [self.special[word]]
             elif len(coded[i]) > LONG:
-                found[i] = self.word_ids(word)
+                found[i] = self.word_ids(coded[i])
             else:
                 usual.append(i)
         if usual:
@@ -433,7 +417,8 @@ def _encoded(path: str, with_ids: bool, batches: Iterator[pa.RecordBatch]) -> It
     bpe = loaded(path)
     try:
         for batch in batches:
-            yield _encoded_batch(bpe, with_ids, batch)
+            for at in range(0, batch.num_rows, ROWS):
+                yield _encoded_batch(bpe, with_ids, batch.slice(at, ROWS))
     finally:
         bpe.forget()  # the worker may go on to other stages
 
@@ -445,12 +430,13 @@ def _encoded_batch(bpe: Bpe, with_ids: bool, batch: pa.RecordBatch) -> pa.Record
         digests.append(hashlib.sha256(ids.encode()).hexdigest())
         decoded.append(hashlib.sha256(shown.encode()).hexdigest())
         if with_ids:
-            kept.append([*map(int, ids.split())])
+            kept.append(np.fromstring(ids, np.int32, sep=" ") if ids else np.zeros(0, np.int32))
     rest = [i for i, name in enumerate(batch.schema.names) if name != "text"]
     arrays = [*(batch.column(i) for i in rest), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
     names = [*(batch.schema.names[i] for i in rest), "n_tokens", "ids_sha256", "decoded_sha256"]
     if with_ids:
-        arrays, names = [*arrays, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
+        ends = pa.array(np.cumsum([0, *counts]), pa.int32())
+        arrays, names = [*arrays, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(kept)))], [*names, "ids"]
     return pa.RecordBatch.from_arrays(arrays, names)
 
 

@@ -59,7 +59,7 @@ def test_many_words_at_once_equal_one_by_one():
     for n in counts.tolist():
         parts.append(ids[at : at + n].tolist())
         at += n
-    assert parts == [own.word_ids(w) for w in words]
+    assert parts == [own.word_ids(w.encode()) for w in words]
 
 
 def test_the_automaton_holds_every_part_once():
