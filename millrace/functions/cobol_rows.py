@@ -10,14 +10,19 @@ from millrace.functions import cobol_parse as cp
 from millrace.functions.cobol_data import expand_pic, pic_type, spark_type
 from millrace.functions.cobol_sql import table_refs
 from millrace.functions.cobol_text import mask_literals, split_outside_literals
+from millrace.functions.cobol_words import Words, is_name
 
 OWN_FIELDS = ("t", "line", "origin", "verb", "text", *{f for fields in cp.BODIES.values() for f in fields})
-NAME = re.compile("[A-Z0-9][A-Z0-9-]*$", re.I)
-#: A MOVE source that is a name, perhaps qualified.
-SOURCE = re.compile(r"([A-Z0-9][A-Z0-9-]*)(?:\s+(?:OF|IN)\s+[A-Z0-9][A-Z0-9-]*)*$", re.I)
 CHARACTER = ("alphanumeric", "alphanumeric-edited", "alphabetic")
 
 
+def plain_name(source: str) -> str | None:
+    """The name that a MOVE source is, perhaps qualified by OF or IN others; null for anything else."""
+    words = source.upper().split()
+    qualified = all(x in ("OF", "IN") for x in words[1::2]) and len(words) % 2 == 1
+    return words[0] if qualified and all(map(is_name, words[::2])) else None
+
+
 def units(program: dict) -> Iterator[tuple[int, dict]]:
     """(number, program) of the outer program and those it contains."""
     yield 0, program
@@ -177,15 +182,14 @@ def assignment_rows(program: dict) -> Iterator[dict]:
                 sides = split_outside_literals(m[1], "TO")
                 for t in re.split(r"[\s,]+", sides[1].strip()) if sides else ():
                     source = sides[0].strip()
-                    if not NAME.match(t):
+                    if not is_name(t):
                         continue
                     if source[:1] in ("'", '"'):
                         yield fact("literal", t.upper(), source.strip("'\"").rstrip())
                     else:
-                        named = SOURCE.match(source)
-                        yield fact("variable", t.upper(), named[1].upper() if named else None)
-            elif s["verb"] == "SET" and (m := re.match(r"SET\s+(.+?)\s+TO\s+TRUE\b", s["text"].strip(), re.I)):
-                for t in re.split(r"[\s,]+", m[1].strip().upper()):
+                        yield fact("variable", t.upper(), plain_name(source))
+            elif s["verb"] == "SET" and (behind := (words := Words(s["text"])).phrase("TO", "TRUE")):
+                for t in words.up[1 : behind - 2]:
                     if t in when_true:
                         yield fact("literal", *when_true[t])
 

@@ -18,6 +18,11 @@ def is_name(word: str) -> bool:
     return bool(word) and word[0] != "-" and PLAIN.issuperset(word.upper())
 
 
+def headed(text: str, *phrase: str) -> bool:
+    """Whether a line has these words one after another, whatever periods are around them."""
+    return phrase[0] in text.upper() and Words(text.replace(".", " ")).phrase(*phrase) is not None
+
+
 class Words:
     """The pieces of a text: ``raw`` as written, ``up`` in upper case without periods at the end, '' for a literal."""
 
@@ -60,6 +65,6 @@ class Words:
         n = len(words)
         return next((i + n for i in range(start, len(self.up) - n + 1) if tuple(self.up[i : i + n]) == words), None)
 
-    def sentence_end(self, start: int = 0) -> int:
-        """The place behind the first piece that ends with a period."""
-        return next((i + 1 for i in range(start, len(self.ends)) if self.ends[i]), len(self.ends))
+    def rest(self, i: int) -> str:
+        """The text behind the piece before place i."""
+        return self.text[self.spans[i - 1][1] :] if i else self.text

@@ -28,7 +28,9 @@ from millrace.operators.closure import reachable
 from millrace.sources.members import cobol_lines, member_key
 from millrace.sources.shared import cut
 
-PARSED = "member string, format string, source_name string, text string, program string"
+PARSED = "member string, format string, source_name string, text string, program string, copybook_errors array<array<string>>"
+#: Source text that one parsing task takes: about ten seconds of Python.
+WORK_BYTES = 4 << 20
 HEADER = "(?iU)\\b(IDENTIFICATION|ENVIRONMENT|DATA|PROCEDURE)\\s+DIVISION\\b"
 
 
@@ -52,14 +54,14 @@ def detected(text: Column) -> Column:
     long = F.exists(lines, lambda x: F.length(F.regexp_replace(x, "(?U)\\s+$", "")) > 80)
     ratio = F.when(n > 0, wrong / n).otherwise(0.0)
     verdict = lambda kind, confidence, reason: F.struct(kind.alias("format"), confidence.cast("double").alias("confidence"), reason.alias("reason"))
-    incl = F.when(comments > 0, F.format_string(", incl. %d comment/continuation line(s)", comments)).otherwise("")
+    incl = F.when(comments > 0, F.format_string(", %d of them a comment or continuation", comments)).otherwise("")
     return (
-        F.when(said.isNotNull(), verdict(said, F.lit(1.0), F.lit("explicit source-format directive")))
-        .when((n > 0) & (wrong == 0), verdict(F.lit("fixed"), F.lit(0.97), F.concat(F.format_string("column 7 is a valid indicator on all %d lines", n), incl)))
-        .when(head.isNotNull(), verdict(head, F.lit(0.95), F.lit("DIVISION header column position")))
-        .when(long, verdict(F.lit("free"), F.lit(0.85), F.lit("source line exceeds 80 columns")))
-        .when(ratio >= 0.15, verdict(F.lit("free"), F.least(F.lit(0.9), ratio + 0.6), F.format_string("program text in column 7 on %d/%d line(s)", wrong, n)))
-        .otherwise(verdict(F.lit("fixed"), F.when(wrong > 0, 0.6).otherwise(0.7), F.lit("no free-format signal; defaulted to fixed (z/OS norm)")))
+        F.when(said.isNotNull(), verdict(said, F.lit(1.0), F.lit("a directive says so")))
+        .when((n > 0) & (wrong == 0), verdict(F.lit("fixed"), F.lit(0.97), F.concat(F.format_string("each of %d lines has an indicator in column 7", n), incl)))
+        .when(head.isNotNull(), verdict(head, F.lit(0.95), F.lit("where a division header begins")))
+        .when(long, verdict(F.lit("free"), F.lit(0.85), F.lit("a line goes beyond column 80")))
+        .when(ratio >= 0.15, verdict(F.lit("free"), F.least(F.lit(0.9), ratio + 0.6), F.format_string("%d of %d lines have program text in column 7", wrong, n)))
+        .otherwise(verdict(F.lit("fixed"), F.when(wrong > 0, 0.6).otherwise(0.7), F.lit("nothing speaks for free format")))
     )
 
 
@@ -75,6 +77,15 @@ def with_format(members: DataFrame) -> DataFrame:
     return members.withColumn("format", detected(F.coalesce("text", F.lit("")))["format"])
 
 
+def by_work(rows_: DataFrame) -> DataFrame:
+    """``rows_`` (member, text and others) dealt by the text to read: left to the session, small rows of much work share few tasks."""
+    if rows_.isStreaming:  # a batch's size is not known beforehand
+        return rows_
+    n, total = rows_.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    tasks = max(-(-(total or 0) // WORK_BYTES), min(n, 2 * rows_.sparkSession.sparkContext.defaultParallelism), 1)
+    return rows_.repartition(tasks, "member")
+
+
 def _flat(make: Callable[..., Iterator[dict]], inputs: list[str], schema: T.StructType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fields = [(f.name, to_arrow_type(f.dataType)) for f in schema.fields]
     for batch in batches:
@@ -97,7 +108,7 @@ def _line_rows(text: str | None, fmt: str) -> Iterator[dict]:
 
 def code_lines(members: DataFrame) -> DataFrame:
     """Logical lines: no margins, comments or continuations."""
-    return flat(with_format(members), _line_rows, ["text", "format"], "ln_ix int, line int, text string, area_a boolean, origin string")
+    return flat(by_work(with_format(members)), _line_rows, ["text", "format"], "ln_ix int, line int, text string, area_a boolean, origin string")
 
 
 def _token_rows(text: str | None, fmt: str) -> Iterator[dict]:
@@ -107,7 +118,7 @@ def _token_rows(text: str | None, fmt: str) -> Iterator[dict]:
 
 def tokens(members: DataFrame) -> DataFrame:
     """Tokens of the logical lines."""
-    return flat(with_format(members), _token_rows, ["text", "format"], "tok_ix int, text string, up string, kind string, line int, origin string")
+    return flat(by_work(with_format(members)), _token_rows, ["text", "format"], "tok_ix int, text string, up string, kind string, line int, origin string")
 
 
 # ---- copybooks
@@ -130,9 +141,15 @@ def ranked_library(library: DataFrame, order: list[str]) -> DataFrame:
     return rows.select("member", "text", "source")
 
 
+def one_each(library: DataFrame) -> DataFrame:
+    """(member, text, source) of a library, one row a member: the least source and text where it was not ranked before."""
+    best = library.groupBy("member").agg(F.min(F.struct("source", "text")).alias("x"))
+    return best.select("member", "x.text", "x.source")
+
+
 def copy_closure(programs: DataFrame, library: DataFrame) -> DataFrame:
     """(member, copy_member, depth, status): all copybooks a program needs, directly or not, and whether the library has them."""
-    known = library.select(F.col("member").alias("src"), "text").dropDuplicates(["src"])
+    known = one_each(library).select(F.col("member").alias("src"), "text")
     of_library = copy_edges(known.select(F.col("src").alias("member"), "text")).select(F.col("member").alias("src"), F.col("copy_member").alias("dst"))
     first = copy_edges(programs).select("member", F.col("copy_member").alias("root")).distinct()
     found = _by_program(cut(first, "copy-roots"), cut(of_library, "copy-edges"))
@@ -148,43 +165,59 @@ def _by_program(first: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parsed = []
-        for text, fmt, books in zip(*(batch.column(c).to_pylist() for c in ("text", "format", "books")), strict=True):
+        parsed, failures = [], []
+        for text, fmt, books, failed in zip(*(batch.column(c).to_pylist() for c in ("text", "format", "books", "failed")), strict=True):
             library = {b["name"]: (b["text"], b["source"]) for b in books or ()}
-            parsed.append(json.dumps(cp.program(text or "", fmt == "fixed", library.get)))
+            errors = {x["name"]: x["error"] for x in failed or ()}
+            made = cp.program(text or "", fmt == "fixed", library.get, errors)
+            missing = dict.fromkeys(x["member"] for x in made["copybooks"] if x["status"] == "missing")
+            parsed.append(json.dumps(made))
+            failures.append([[x, errors[x]] for x in missing if x in errors])
         kept = [batch.column(c) for c in ("member", "format", "source_name", "text")]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(parsed, pa.string())], ["member", "format", "source_name", "text", "program"])
+        arrays = [*kept, pa.array(parsed, pa.string()), pa.array(failures, pa.list_(pa.list_(pa.string())))]
+        yield pa.RecordBatch.from_arrays(arrays, ["member", "format", "source_name", "text", "program", "copybook_errors"])
 
 
-def parsed(members: DataFrame, library: DataFrame | None = None) -> DataFrame:
-    """(member, format, source_name, text, program): each member's program as a JSON tree.
+def parsed(members: DataFrame, library: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
+    """(member, format, source_name, text, program, copybook_errors): each member's program as a JSON tree.
 
-    ``library`` is (member, text, source), one row per member. A program's row
-    brings just the copybooks of its own closure to the worker.
+    ``library`` is (member, text, source). A program's row brings just the
+    copybooks of its own closure to the worker. ``errors`` is (member, error) of
+    copybooks whose retrieval failed: a program that misses one has the pair in
+    ``copybook_errors``, in the order of its COPY statements.
     """
     rows_ = with_format(members)
     name = F.col("source_name") if "source_name" in members.columns else F.col("member")
-    rows_ = rows_.select("member", "format", name.alias("source_name"), "text")
-    if library is None:
-        rows_ = rows_.withColumn("books", F.lit(None).cast("array<struct<name:string,text:string,source:string>>"))
-    else:
-        needed = copy_closure(members, library).filter("status = 'expanded'").select("member", "copy_member")
+    rows_ = by_work(rows_.select("member", "format", name.alias("source_name"), "text"))
+    none = lambda kind: F.lit(None).cast(f"array<struct<{kind}>>")
+    rows_ = rows_.withColumn("books", none("name:string,text:string,source:string")).withColumn("failed", none("name:string,error:string"))
+    if library is not None:
+        library = one_each(library)
+        closure = copy_closure(members, library)
+        if errors is not None:
+            closure = cut(closure, "copy-closure")
+        needed = closure.filter("status = 'expanded'").select("member", "copy_member")
         books = needed.join(library.select(F.col("member").alias("copy_member"), "text", "source"), "copy_member")
         books = books.groupBy("member").agg(F.collect_list(F.struct(F.col("copy_member").alias("name"), "text", "source")).alias("books"))
-        rows_ = rows_.join(books, "member", "left")
-    return map_arrow(rows_.select("member", "format", "source_name", "text", "books"), _parse, PARSED)
+        rows_ = rows_.drop("books").join(books, "member", "left")
+        if errors is not None:
+            known = errors.groupBy(member_key(F.col("member")).alias("copy_member")).agg(F.min("error").alias("error"))
+            failed = closure.filter("status = 'missing'").join(known, "copy_member")
+            failed = failed.groupBy("member").agg(F.sort_array(F.collect_list(F.struct(F.col("copy_member").alias("name"), "error"))).alias("failed"))
+            rows_ = rows_.drop("failed").join(failed, "member", "left")
+    return map_arrow(rows_.select("member", "format", "source_name", "text", "books", "failed"), _parse, PARSED)
 
 
 def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("source_name", "text", "format", "program")]
-        texts = [cp.bundle_text(n, t or "", f == "fixed", json.loads(p)) for n, t, f, p in zip(*columns, strict=True)]
+        columns = [batch.column(c).to_pylist() for c in ("source_name", "text", "format", "program", "copybook_errors")]
+        texts = [cp.bundle_text(n, t or "", f == "fixed", json.loads(p), e or ()) for n, t, f, p, e in zip(*columns, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("member"), pa.array(texts, pa.string())], ["member", "bundle"])
 
 
 def bundles(programs: DataFrame) -> DataFrame:
     """(member, bundle): each parsed program as a parse bundle's text."""
-    return map_arrow(programs.select("member", "source_name", "text", "format", "program"), _bundles, "member string, bundle string")
+    return map_arrow(programs.select("member", "source_name", "text", "format", "program", "copybook_errors"), _bundles, "member string, bundle string")
 
 
 def checked_bundle(text: Column, source: Column) -> Column:
