@@ -2,25 +2,29 @@
 
 A word's vector is the mean of the vectors of its character n-grams (3 to 6
 characters with word borders, and the whole word), so a misspelling shares most
-of a known word's vectors. N-grams are hashed into ``BUCKETS`` rows. Rows that
-the training labels do not tell apart from chance are zero rows: a row needs a
-document-level z of ``LEAST_Z`` between its share of toxic documents and the
-base rate. A document's vector is the mean of its words' vectors, each weighted
-by the share of its n-grams that are not zero rows, over those weights plus
-one for a learnt background; the softmax over it gives the score. At the end
-the softmax's bias is moved so that the score at which training rows part best
-(by F1) is ``THRESHOLD``.
+of a known word's vectors. N-grams are hashed into ``BUCKETS`` rows. A text's
+vector is the mean of its words' vectors, and a linear softmax over it gives the
+score. All rows, the softmax and its bias are trained together, by full-batch
+Adam with decay, for and against toxicity; rows that no training text has stay
+zero.
+
+A few words make a long text toxic, and a plain mean would drown them. So a row
+has a trust between 0 and 1 that shrinks its vector: how far the texts that have
+it, by their number, stray from the base rate, to either side. A word weighs as
+much as its rows are trusted on average, and the mean has one more part, of
+weight one, for nothing at all. At the end the bias is moved so that the score
+at which training rows part best (by F1) is ``THRESHOLD``.
 
 Labels are learnt only from rows with crc32(doc_id as text) mod 3 other than 1,
 at most ``MAX_LABELLED`` of them (the smallest by a seeded hash of doc_id). Where
 documents repeat a doc_id, all their texts are learnt from up to twice as many
-rows: one text of every label, by text hash, before a second one of any. The
-model is a few hundred kilobytes and travels with the scoring function.
+rows: one text of every label, by text hash, before a second one of any. What
+scoring needs of the model, one number a row, travels with its function.
 
-Cases with a defined result: null and empty texts score as the background
-alone; texts are scored whole; null doc_ids are scored and held out only if the
-crc32 of the empty string says so; null labels are not learnt from; without
-both classes among the labels every score is 0; extra columns are not read.
+Cases with a defined result: null and empty texts score as the bias alone;
+texts are scored whole; null doc_ids are scored and held out only if the crc32
+of the empty string says so; null labels are not learnt from; without both
+classes among the labels every score is 0; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -39,10 +43,13 @@ from millrace.functions.shipping import map_arrow
 
 MAX_LABELLED = 8000
 BUCKETS = 1 << 17
-DIM = 8
-LEAST_Z = 3.0
-LEAST_ROWS = 64
-STEPS = 150
+DIM = 4
+STEPS = 40
+RATE = 0.3
+#: A row at this many deviations from chance is half trusted, by this power.
+EVIDENCE = 3.0
+POWER = 8.0
+DECAY = 1e-5
 SEED = 11
 THRESHOLD = 0.7
 MEMO = 300_000
@@ -86,133 +93,139 @@ def gram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w for w in (x.strip(EDGES) for x in (text or "").lower().split()) if w]
+    """The words of a text without signs at their edges; one of signs only is the empty word."""
+    return [x.strip(EDGES) for x in (text or "").lower().split()]
+
+
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... for size[0] places, then the same of the next."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def group_sums(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The sums of the groups of ``size`` values that begin at ``begin``, zero for empty ones."""
+    out = np.zeros(len(size), values.dtype)
+    full = size > 0
+    if full.any():
+        out[full] = np.add.reduceat(values, begin[full])
+    return out
 
 
 @dataclass
 class Model:
-    """Vectors of the rows that are not zero, the background, and the softmax (its two classes differ by ``w`` and ``b``)."""
+    """A vector and a trust between 0 and 1 a row, and the softmax: its two classes differ by ``w`` and ``b``."""
 
-    place: dict[int, int] = field(default_factory=dict)
-    vectors: np.ndarray = field(default_factory=lambda: np.zeros((0, DIM)))
-    background: np.ndarray = field(default_factory=lambda: np.zeros(DIM))
-    w: np.ndarray = field(default_factory=lambda: np.zeros(DIM))
+    vectors: np.ndarray = field(default_factory=lambda: np.zeros((BUCKETS, DIM), np.float32))
+    trust: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS, np.float32))
+    w: np.ndarray = field(default_factory=lambda: np.zeros(DIM, np.float32))
     b: float = -30.0
 
-    def scores(self, texts: list[str | None], memo: Memo) -> np.ndarray:
-        """Class 1's share for each text. The softmax is linear, so each word adds one number to its sum and one to its weight."""
-        split = [(t or "").lower().split() for t in texts]
-        memo.learn(self, set().union(*split))
-        known = memo.known
-        total, weight = np.full(len(texts), float(self.background @ self.w)), np.ones(len(texts))
-        for i, words in enumerate(split):
-            found = [known[w] for w in words if w in known]
-            if found:
-                a, x = zip(*found, strict=True)
-                weight[i] += sum(a)
-                total[i] += sum(x)
-        return 1 / (1 + np.exp(-np.clip(total / weight + self.b, -30, 30)))
+    def scorer(self) -> Scorer:
+        return Scorer((self.vectors @ self.w).astype(np.float32), self.trust, self.b)
 
     def score(self, text: str | None) -> float:
-        return float(self.scores([text], Memo())[0])
+        return float(self.scorer().scores([text])[0])
 
 
-class Memo:
-    """Words met so far: those that have known rows with (weight, addend), the others only as met."""
+class Scorer:
+    """Scores texts. The softmax is linear, so a row is one number, a word the mean of its rows' and a text that of its words'."""
 
-    def __init__(self) -> None:
-        self.known: dict[str, tuple[float, float]] = {}
-        self.met: set[str] = set()
+    def __init__(self, rows: np.ndarray, trust: np.ndarray, b: float) -> None:
+        self.rows, self.trust, self.b = rows * trust, trust, b
+        #: by word: its weight in a text's mean, and that times its number
+        self.weight: dict[str, float] = {}
+        self.addend: dict[str, float] = {}
 
-    def learn(self, model: Model, words: set[str]) -> None:
-        if len(self.met) >= MEMO:
-            self.known, self.met = {}, set()
-        new = list(words - self.met)
-        self.met.update(new)
-        value, is_known = np.zeros(BUCKETS), np.zeros(BUCKETS, bool)
-        rows = np.fromiter(model.place, np.int64, len(model.place))
-        value[rows], is_known[rows] = (model.vectors @ model.w)[[*model.place.values()]], True
+    def learn(self, words: set[str]) -> None:
+        if len(self.weight) + len(words) > MEMO:
+            kept = words & self.weight.keys()
+            self.weight, self.addend = {w: self.weight[w] for w in kept}, {w: self.addend[w] for w in kept}
+        new = list(words - self.weight.keys())
         for at in range(0, len(new), WORDS_AT_ONCE):
             part = new[at : at + WORDS_AT_ONCE]
             row, word = gram_rows([w.strip(EDGES) for w in part])
             size = np.bincount(word, minlength=len(part))
-            held = is_known[row]
-            count = np.bincount(word[held], minlength=len(part))
-            sums = np.bincount(word[held], value[row[held]], len(part))
-            for i in np.flatnonzero(count).tolist():
-                if part[i].strip(EDGES):
-                    weight = count[i] / size[i]
-                    self.known[part[i]] = (weight, weight * weight * sums[i] / count[i])
+            weight = np.bincount(word, self.trust[row], len(part)) / size
+            self.weight.update(zip(part, weight.tolist(), strict=True))
+            self.addend.update(zip(part, (weight * np.bincount(word, self.rows[row], len(part)) / size).tolist(), strict=True))
 
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Class 1's share for each text."""
+        split = [(t or "").lower().split() for t in texts]
+        self.learn(set().union(*split))
+        weight, addend = self.weight.__getitem__, self.addend.__getitem__
+        mean = np.array([sum(map(addend, words)) / (1 + sum(map(weight, words))) for words in split])
+        return 1 / (1 + np.exp(-np.clip(mean + self.b, -30, 30)))
 
-def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """begin[0], begin[0] + 1, ... for size[0] places, then the same of the next."""
-    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+def by_column(column: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, begin, size): the entries sorted by column, where each of n columns begins and how many it has."""
+    size = np.bincount(column, minlength=n)
+    return np.argsort(column, kind="stable").astype(np.int32), np.cumsum(size) - size, size
 
 
 def train(texts: list[str | None], labels: list[int]) -> Model:
-    """The model of labelled texts; full-batch Adam with a fixed seed and number of steps."""
-    y = np.array(labels, float)
+    """The model of labelled texts; full-batch Adam with a fixed seed and number of steps.
+
+    The softmax is linear, so a step needs no vector of any text: a row's share
+    in a logit goes forth, and what the logits lack comes back, as one number.
+    """
+    y = np.array(labels, np.float32)
     if not 0 < y.sum() < len(y):
         return Model()
-    # words as numbers: each text's in order, each word's rows side by side in one array
+    # words as numbers; of each text its different words and their times, of each word its rows
     number: dict[str, int] = {}
-    words = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
+    counted = [np.unique(np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32), return_counts=True) for t in texts]
+    word = np.concatenate([x for x, _ in counted])
+    times = np.concatenate([c for _, c in counted]).astype(np.float32)
+    n_words = np.array([len(x) for x, _ in counted])
     vocabulary = list(number)
-    number.clear()
+    del number, counted
     parts = [gram_rows(vocabulary[at : at + WORDS_AT_ONCE]) for at in range(0, len(vocabulary), WORDS_AT_ONCE)]
-    grams = np.concatenate([row for row, _ in parts] or [np.zeros(0, np.int32)])
-    size = np.concatenate([np.bincount(word) for _, word in parts] or [np.zeros(0, np.int64)])
-    begin = np.concatenate(([0], np.cumsum(size)))
-    del parts, vocabulary
-    df, hits = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for found, toxic in zip(words, labels, strict=True):
-        of = np.unique(found)
-        rows = np.unique(grams[spread(begin[of], size[of])])
-        df[rows] += 1
-        hits[rows] += toxic
-    rate = y.mean()
-    z = (hits - df * rate) / np.sqrt(df * rate * (1 - rate) + 1)
-    chosen = np.flatnonzero(z >= LEAST_Z)
-    if len(chosen) < LEAST_ROWS:
-        chosen = np.sort(np.argsort(-z, kind="stable")[:LEAST_ROWS])
+    n_grams = np.concatenate([np.bincount(owner) for _, owner in parts])
+    used, gram = np.unique(np.concatenate([row for row, _ in parts]), return_inverse=True)  # the rows that occur
+    gram, n_vocabulary = gram.astype(np.int32), len(vocabulary)
+    del vocabulary, parts
+    first_gram, first_word = np.cumsum(n_grams) - n_grams, np.cumsum(n_words) - n_words
+    # in how many texts, and toxic texts, a row is: the further from chance, the more it is trusted
+    rate, seen = y.mean(), np.zeros((2, len(used)))
+    for i, (at, n) in enumerate(zip(first_word, n_words, strict=True)):
+        of = word[at : at + n]
+        seen[int(y[i]), np.unique(gram[spread(first_gram[of], n_grams[of])])] += 1
+    z = np.abs(seen[1] - seen.sum(0) * rate) / np.sqrt(seen.sum(0) * rate * (1 - rate) + 1)
+    trust = (z**POWER / (z**POWER + EVIDENCE**POWER)).astype(np.float32)
+    weight = (group_sums(trust[gram], first_gram, n_grams) / n_grams).astype(np.float32)
+    share = weight[word] * times
+    share /= np.repeat(1 + group_sums(share, first_word, n_words), n_words)
+    # the same entries by word and by row, for the way back
+    order, doc_begin, doc_size = by_column(word, n_vocabulary)
+    doc, share_back = np.repeat(np.arange(len(y), dtype=np.int32), n_words)[order], share[order]
+    order, word_begin, word_size = by_column(gram, len(used))
+    word_back = np.repeat(np.arange(n_vocabulary, dtype=np.int32), n_grams)[order]
+    del order
     rng = np.random.default_rng(SEED)
-    model = Model({int(r): i for i, r in enumerate(chosen)}, rng.normal(0, 0.1, (len(chosen), DIM)), rng.normal(0, 0.1, DIM), rng.normal(0, 1, DIM), -1.0)
-    # the known rows of each word; a word spreads weight * weight / known over them, which is weight times its mean vector
-    place = np.full(BUCKETS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    places = place[grams]
-    known = np.concatenate(([0], np.cumsum(places >= 0)))[begin]
-    places, first, known = places[places >= 0], known[:-1], np.diff(known)
-    part = known / np.maximum(size, 1)
-    used = np.concatenate(words)
-    doc = np.repeat(np.arange(len(y)), [len(x) for x in words])
-    weight = 1 + np.bincount(doc, part[used], len(y))
-    held = known[used] > 0
-    used, doc = used[held], doc[held]
-    share = np.repeat(part[used] ** 2 / known[used] / weight[doc], known[used])
-    row = places[spread(first[used], known[used])]
-    doc = np.repeat(doc, known[used])
-    params = [model.vectors, model.background, model.w, np.array([model.b])]
+    params = [np.zeros((len(used), DIM), np.float32), rng.normal(0, 1, DIM).astype(np.float32), np.zeros(1, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+
+    def logits(vectors: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+        of_word = group_sums((trust * (vectors @ w))[gram], first_gram, n_grams) / n_grams
+        return group_sums((of_word[word] * share).astype(np.float32), first_word, n_words) + b
+
     for step in range(1, STEPS + 1):
-        vectors, background, w, b = params
-        mean = np.stack([np.bincount(doc, share * vectors[row, d], len(y)) for d in range(DIM)], axis=1) + background / weight[:, None]
-        error = (1 / (1 + np.exp(-np.clip(mean @ w + b, -30, 30))) - y) / len(y)
-        back = error[:, None] * w
-        grads = [
-            np.stack([np.bincount(row, share * back[doc, d], len(vectors)) for d in range(DIM)], axis=1) + 1e-5 * vectors,
-            (back / weight[:, None]).sum(0) + 1e-5 * background,
-            mean.T @ error + 1e-5 * w,
-            np.array([error.sum()]),
-        ]
+        vectors, w, b = params
+        error = ((1 / (1 + np.exp(-np.clip(logits(*params), -30, 30))) - y) / len(y)).astype(np.float32)
+        lacks = (group_sums(error[doc] * share_back, doc_begin, doc_size) / n_grams).astype(np.float32)
+        lacks = trust * group_sums(lacks[word_back], word_begin, word_size)
+        grads = [lacks[:, None] * w + DECAY * vectors, vectors.T @ lacks + DECAY * w, np.array([error.sum()])]
         for i, g in enumerate(grads):
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.99 * second[i] + 0.01 * g * g
-            params[i] = params[i] - 0.05 * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-8)
-    vectors, background, w, b = params
-    mean = np.stack([np.bincount(doc, share * vectors[row, d], len(y)) for d in range(DIM)], axis=1) + background / weight[:, None]
-    return Model(model.place, vectors, background, w, float(b[0]) + shift(mean @ w + b, y))
+            move = (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-8)
+            params[i] = (params[i] - RATE * (1 - step / (STEPS + 1)) * move).astype(np.float32)
+    vectors, w, b = params
+    out = Model(w=w, b=float(b[0]) + shift(logits(*params), y))
+    out.vectors[used], out.trust[used] = vectors, trust
+    return out
 
 
 def shift(logits: np.ndarray, y: np.ndarray) -> float:
@@ -238,11 +251,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return train([r["text"] for r in found], [r["toxic"] for r in found])
 
 
-def _scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = Memo()
+def _scored(scorer: Scorer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        parts = [model.scores(texts[at : at + TEXTS_AT_ONCE], memo) for at in range(0, len(texts), TEXTS_AT_ONCE)]
+        parts = [scorer.scores(texts[at : at + TEXTS_AT_ONCE]) for at in range(0, len(texts), TEXTS_AT_ONCE)]
         scores = np.concatenate([np.zeros(0), *parts])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
@@ -251,5 +263,5 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``."""
     rows = docs.select("doc_id", "text", (fold(F.col("doc_id")) == 1).alias("held_out"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = map_arrow(rows, partial(_scored, model), f"doc_id {kind}, held_out boolean, score double")
+    found = map_arrow(rows, partial(_scored, model.scorer()), f"doc_id {kind}, held_out boolean, score double")
     return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

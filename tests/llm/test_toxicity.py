@@ -76,3 +76,33 @@ def test_repeated_ids_leave_every_label_a_text_in_any_order(spark, monkeypatch):
         tx.fit(rows, l)
     assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 40
     assert len({t.split()[-1] for t, _ in seen[0]}) == 20
+
+
+def test_rows_speak_for_and_against():
+    rng = random.Random(4)
+    kind = ["gentleword", "kindlything"]
+    known = [(t if y else t + " " + rng.choice(kind), y) for t, y in texts(400, 5)]
+    model = tx.train([t for t, _ in known], [y for _, y in known])
+    assert model.score("gentleword kindlything") < model.score("the house of a river") < model.score("blorkhead snotwidget")
+
+
+def test_the_vocabulary_at_once_equals_word_by_word(model):
+    long = " ".join(t for t, _ in texts(200, 6)) + " # ... " + "x" * 5000
+    scorer = model.scorer()
+    whole = scorer.scores([long, None, "", " \n", "...", long])
+    weight = addend = 0.0
+    for w in long.lower().split():
+        row, _ = tx.gram_rows([w.strip(tx.EDGES)])
+        trust = model.trust[row].mean()
+        weight += trust
+        addend += trust * (model.trust[row] * (model.vectors[row] @ model.w)).mean()
+    assert abs(whole[0] - 1 / (1 + np.exp(-np.clip(addend / (1 + weight) + model.b, -30, 30)))) < 1e-4
+    assert whole[0] == whole[5] and whole[1] == whole[2] == whole[3]
+
+
+def test_extra_columns_with_clashing_names(spark):
+    known = texts(100, 7)
+    d = spark.createDataFrame([(i, t, 1, 2, 3) for i, (t, _) in enumerate(known)], "doc_id long, text string, held_out int, score int, predicted int")
+    labels = spark.createDataFrame([(i, y, 5) for i, (_, y) in enumerate(known)], "doc_id long, toxic int, text int")
+    found = tx.scored(d, tx.fit(d, labels))
+    assert found.columns == ["doc_id", "held_out", "score", "predicted"] and found.count() == 100
