@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import cics, cobol, estate
+from millrace.plans import cics, cobol, cobol_more, estate
 from millrace.registry import Registry
 
 REGISTRY = Registry()
-for part in (cics, cobol, estate):
+for part in (cics, cobol, cobol_more, estate):
     REGISTRY.include(part.REGISTRY)
