@@ -7,14 +7,10 @@ never asked for stay apart. Inputs carry an ordinal, and outputs keep its order.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from millrace.functions.shipping import ship
 from millrace.sources.members import canonical_type, member_key
 
 MEMBER_NAME = "(?i)^[A-Z0-9$#@][A-Z0-9$#@._-]{0,43}$"
@@ -126,57 +122,6 @@ def stored(asks: DataFrame, store: DataFrame) -> DataFrame:
 # ---- outcomes
 
 
-def ask_service(asks: DataFrame, service: Callable[[str, str | None], object], jobs: int = 8) -> DataFrame:
-    """(seq, name, asked_type, outcome, text, source, detected_type, error) of calling ``service(name, type)`` for each of ``asks``.
-
-    A service may return None or False (it has nothing), a text, bytes, a (text,
-    source) pair or a mapping with found, text, source and detected_type; what
-    it raises, or any other shape, is an error of that ask only.
-    """
-    ship(asks.sparkSession)
-    schema = "seq long, name string, asked_type string, outcome string, text string, source string, detected_type string, error string"
-
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for seq, name, kind in batch.itertuples(index=False):
-                kind = kind if isinstance(kind, str) else None
-                try:
-                    rows.append((seq, name, kind, *answer(service(name, kind), name)))
-                except Exception as e:  # noqa: BLE001 - one failed request is one row
-                    rows.append((seq, name, kind, "error", None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
-
-    return asks.select(F.col("seq").cast("long"), "name", "asked_type").repartition(max(1, jobs)).mapInPandas(call, schema)
-
-
-def answer(got: object, name: str) -> tuple[str, str | None, str | None, str | None, str | None]:
-    """(outcome, text, source, detected type, error) of what a service returned."""
-    detected = None
-    source: object = name
-    if isinstance(got, dict):
-        if got.get("found") is False:
-            got = None
-        else:
-            detected = got.get("detected_type") or got.get("type")
-            source = next((got[k] for k in ("source_location", "source_path", "source", "path", "file") if got.get(k)), name)
-            got = next((got[k] for k in ("text", "content", "data", "body") if got.get(k) is not None), None)
-    elif isinstance(got, (tuple, list)) and len(got) == 2:
-        got, source = got
-    if got is None or got is False:
-        return "not-found", None, None, None, None
-    if isinstance(got, (bytes, bytearray)):
-        try:
-            got = bytes(got).decode()
-        except UnicodeDecodeError:
-            got = bytes(got).decode("latin-1")
-    if not isinstance(got, str):
-        raise TypeError(f"unknown answer shape {type(got).__name__}")
-    if not got.strip():
-        return "not-found", None, None, None, None
-    return "found", got, str(source), detected, None
-
-
 def first_answers(answers: DataFrame) -> DataFrame:
     """Of the answers recorded for one (name, asked_type) the first by seq; of several with one seq the least by their other columns."""
     rest = [c for c in answers.columns if c not in ("name", "asked_type", "seq")]

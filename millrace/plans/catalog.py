@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import cics, cobol, cobol_more, estate
+from millrace.plans import cics, cobol, cobol_more, estate, estate_more
 from millrace.registry import Registry
 
 REGISTRY = Registry()
-for part in (cics, cobol, cobol_more, estate):
+for part in (cics, cobol, cobol_more, estate, estate_more):
     REGISTRY.include(part.REGISTRY)

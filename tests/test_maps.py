@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from millrace.operators import estate
+from millrace.operators import estate, retrieval
 from millrace.sources import maps
 
 
@@ -33,7 +33,7 @@ def test_dependents_maps(spark, tmp_path):
 
 def test_recorded_answers_round_trip(spark, tmp_path):
     asks = spark.createDataFrame([(1, "a", "proc"), (2, "b", None)], "seq long, name string, asked_type string")
-    live = estate.ask_service(asks, lambda n, k: "T" if n == "a" else None)
+    live = retrieval.ask_service(asks, lambda n, k: "T" if n == "a" else None)
     maps.write_answers(live, str(tmp_path / "answers"))
     back = estate.replayed(asks, maps.read_answers(spark, str(tmp_path / "answers")))
     assert sorted((r["seq"], r["outcome"]) for r in back.collect()) == [(1, "found"), (2, "not-found")]
