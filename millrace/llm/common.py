@@ -1,14 +1,16 @@
-"""Shared folder handling and small expression helpers of the corpus operators."""
+"""Joins and small expressions of the corpus operators, and the shared folder as they use it."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import cut, delete, scratch, shared_dir, shared_path
+
+__all__ = ["cut", "delete", "scratch", "shared_dir", "shared_path", "joined", "let", "looked_up", "with_spaces", "without", "words"]
+
 #: ASCII white space: a word is a longest run of other characters.
 SPACES = "\t\n\x0b\x0c\r "
 #: A key with more rows than this and than its share of HOT_KEYS is looked up by broadcast.
@@ -17,27 +19,6 @@ HOT_ROWS, HOT_KEYS = 1 << 12, 1 << 16
 BROADCAST_BYTES = 32 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends there and survives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, also where ``body`` uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -243,14 +243,19 @@ def components(links: DataFrame) -> DataFrame:
         return out.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    before, n = None, links.count()
-    while True:
-        # neither star makes more edges than the nodes and edges before it
-        edges = common.cut(star(star(edges, low=False, n=n), low=True, n=2 * n), "stars")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before, n = state, state[0]
+    before, n, spark = None, links.count(), links.sparkSession
+    with common.scratch(spark) as made:
+        while True:
+            # neither star makes more edges than the nodes and edges before it
+            edges = common.cut(star(star(edges, low=False, n=n), low=True, n=2 * n), "stars")
+            state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if state == before:
+                made.pop()
+                return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            before, n = state, state[0]
+            for path in made[:-1]:  # the round before is read by nothing any more
+                common.delete(spark, path)
+            del made[:-1]
 
 
 def component_of(rows: DataFrame, best: str) -> DataFrame:
