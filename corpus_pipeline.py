@@ -47,8 +47,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written as Parquet and read again before the next; the last is the caller's to write."""
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
+        with common.scratch(spark) as made:  # what a stage wrote for itself goes once its result is written
+            docs = common.cut(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
+            written, before = made.pop(), written
+            made += [before] if before else []
     return STAGES[-1][1](spark, docs, sf_dir)
