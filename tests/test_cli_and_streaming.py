@@ -46,3 +46,22 @@ def test_a_failing_sink_is_no_failure():
         pass
     timer.report()
     assert timer.rows[0]["stage"] == "x"
+
+
+def test_copybooks_from_a_service_and_from_its_record(spark, tmp_path, monkeypatch):
+    d = folder(tmp_path)
+    (d / "src" / "q.cbl").write_text(SOURCE.replace("COPY C.", "COPY DEEP.").replace("GOBACK", "EXEC SQL DELETE FROM SYN END-EXEC"))
+    (d / "estate_for_tests.py").write_text("def fetch(name):\n    if name == 'C':\n        raise OSError('down')\n    return {'DEEP': '       COPY INNER.', 'INNER': '       01 GOT PIC X.'}.get(name)\n\ndef base(name):\n    return 'owner.real'\n")
+    monkeypatch.syspath_prepend(str(d))
+    spark.sparkContext.addPyFile(str(d / "estate_for_tests.py"))
+    live = [str(d / "src"), "-o", str(d / "live"), "--fetcher", "estate_for_tests:fetch", "--jobs", "0", "-q"]
+    assert cli.main([*live, "--gather-only", str(d / "answers")]) == 0 and not (d / "live").exists()
+    assert cli.main([*live, "--synonym-resolver", "estate_for_tests:base"]) == 0
+    assert cli.main([str(d / "src"), "-o", str(d / "back"), "--from-bundle", str(d / "answers"), "-q"]) == 0
+    shown = {}
+    for name in ("live", "back"):
+        docs = [json.loads(r["bundle"]) for r in spark.read.parquet(str(d / name)).collect()]
+        shown[name] = {x["source"]["name"]: ([i["name"] for i in x["program"]["data_items"]], [e[0] for e in x["copybookErrors"]]) for x in docs}
+    assert shown["live"] == shown["back"] == {"p.cbl": ([], ["C"]), "q.cbl": (["GOT"], [])}
+    assert [tuple(r) for r in spark.read.parquet(str(d / "live.tables")).select("member", "table", "base", "door").collect()] == [("Q", "SYN", "OWNER.REAL", "resolver")]
+    assert cli.main([str(d / "src"), "-o", str(d / "no"), "--fetcher", "no.such:thing", "-q"]) == 2
