@@ -181,11 +181,17 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
     n_words = np.array([len(x) for x, _ in counted])
     vocabulary = list(number)
     del number, counted
-    parts = [gram_rows(vocabulary[at : at + WORDS_AT_ONCE]) for at in range(0, len(vocabulary), WORDS_AT_ONCE)]
-    n_grams = np.concatenate([np.bincount(owner) for _, owner in parts])
-    used, gram = np.unique(np.concatenate([row for row, _ in parts]), return_inverse=True)  # the rows that occur
-    gram, n_vocabulary = gram.astype(np.int32), len(vocabulary)
-    del vocabulary, parts
+    rows, sizes = [], []
+    for at in range(0, len(vocabulary), WORDS_AT_ONCE):
+        row, owner = gram_rows(vocabulary[at : at + WORDS_AT_ONCE])
+        rows.append(row)
+        sizes.append(np.bincount(owner))
+    gram, n_grams, n_vocabulary = np.concatenate(rows), np.concatenate(sizes), len(vocabulary)
+    del vocabulary, rows, sizes
+    used = np.flatnonzero(np.bincount(gram, minlength=BUCKETS))  # the rows that occur, numbered anew
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used))
+    gram = place[gram]
     first_gram, first_word = np.cumsum(n_grams) - n_grams, np.cumsum(n_words) - n_words
     # in how many texts, and toxic texts, a row is: the further from chance, the more it is trusted
     rate, seen = y.mean(), np.zeros((2, len(used)))
@@ -202,7 +208,7 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
     doc, share_back = np.repeat(np.arange(len(y), dtype=np.int32), n_words)[order], share[order]
     order, word_begin, word_size = by_column(gram, len(used))
     word_back = np.repeat(np.arange(n_vocabulary, dtype=np.int32), n_grams)[order]
-    del order
+    del order, times
     rng = np.random.default_rng(SEED)
     params = [np.zeros((len(used), DIM), np.float32), rng.normal(0, 1, DIM).astype(np.float32), np.zeros(1, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
