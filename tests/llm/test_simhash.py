@@ -122,3 +122,10 @@ def test_of_rows_that_share_id_and_text_one_stays(spark):
     rows = [(1, "one two three four", "b", "s", 0), (1, "one two three four", "a", "t", 0), (1, "another text of its own here", "c", "s", 0), (None, None, "n", None, None), (None, "", "m", None, None), (None, None, "n", None, None)]
     kept = sh.dedup(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r["doc_id"] or 0, r["lang"]) for r in kept) == [(0, "n"), (1, "a"), (1, "c")]
+
+
+def test_texts_of_more_words_than_a_slice():
+    rng = random.Random(3)
+    for n in (sh.SLICE - 1, sh.SLICE + 2, sh.SLICE + 3, 2 * sh.SLICE + 5):
+        text = " ".join(rng.choice("abcdef") for _ in range(n))
+        assert sh.fingerprint(text.encode()) == brute_fingerprint(text)
