@@ -82,6 +82,7 @@ def _shuffled(columns: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator
             if new and waiting:
                 yield from emit(waiting)
                 waiting = []
+                pa.default_memory_pool().release_unused()  # two workers share an executor's memory with its JVM
             waiting.append(table.slice(s, e - s))
     if waiting:
         yield from emit(waiting)
