@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
+from functools import cache, partial
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
@@ -25,7 +28,27 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+@cache
+def _trim():
+    """glibc's ``malloc_trim``; where there is none, nothing."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Returns to the system what Arrow's pool and C's heap hold unused."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def _lean(fn, batches):
+    """``fn(batches)``; a worker waits for its next task, beside the JVM of its executor, without what this one took."""
+    try:
+        yield from fn(batches)
+    finally:
+        give_back()
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package on the workers."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(partial(_lean, fn), schema)

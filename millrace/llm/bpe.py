@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.shipping import map_arrow
+from millrace.functions.shipping import give_back, map_arrow
 
 #: Words whose ids a worker remembers from one group of texts to the next.
 MEMO = 120_000
@@ -410,7 +410,9 @@ def grouped(parts: Iterable[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]
 
 @cache
 def loaded(path: str) -> Bpe:
-    return Bpe(path)
+    bpe = Bpe(path)
+    give_back()  # of the automaton only the tables stay
+    return bpe
 
 
 def _encoded(path: str, with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,8 @@
 import hashlib
 import os
 import random
+import subprocess
+import sys
 
 import pytest
 
@@ -86,3 +88,18 @@ def test_very_long_texts_go_in_parts(library, monkeypatch):
     (ids, shown), empty = own.coded([long, None])
     assert shown == library.decode([int(x) for x in ids.split()], skip_special_tokens=False)
     assert empty == ("", "")
+
+
+def test_a_loaded_vocabulary_holds_its_tables_only():
+    """What building the tables took is given back: two workers share an executor's memory with its JVM."""
+    code = f"""
+import re
+from millrace.llm import bpe
+def held():
+    return int(re.search(r"Anonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+before = held()
+bpe.loaded({PATH!r})
+print(held() - before)
+"""
+    found = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+    assert float(found.stdout.split()[-1]) < 50
