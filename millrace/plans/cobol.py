@@ -204,14 +204,14 @@ def sql_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM supplier""",
 )
 def call_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One program per supplier, whose call by a data item is of one of the eight kinds."""
+    """One program per supplier, whose call by a data item is of one of the eight kinds; lines and pictures have room for a key of 19 digits."""
     s = table(spark, sf_dir, "supplier")
     data = [
-        "       01 WS-%1$d PIC X(8) VALUE 'PGM%1$d'.", "       01 WS-%1$d PIC X(8).", "       01 WS-%1$d PIC X(8) VALUE 'PGM%1$d'.", "       01 WS-%1$d PIC X(8).",
-        "       01 WS-%1$d PIC X(8).\n          88 WS-OK VALUE 'PGM%1$d'.", "       01 WS-%1$d PIC X(8) VALUE 'A B'.", "       01 OTHER PIC X.", "       01 WS-%1$d PIC X(8).",
+        "       01 WS-%1$d PIC X(30)\n           VALUE 'PGM%1$d'.", "       01 WS-%1$d PIC X(30).", "       01 WS-%1$d PIC X(30)\n           VALUE 'PGM%1$d'.", "       01 WS-%1$d PIC X(8).",
+        "       01 WS-%1$d PIC X(30).\n          88 WS-OK VALUE 'PGM%1$d'.", "       01 WS-%1$d PIC X(8) VALUE 'A B'.", "       01 OTHER PIC X.", "       01 WS-%1$d PIC X(8).",
     ]
     code = [
-        "", "           MOVE 'PGA%1$d' TO VIA. MOVE VIA TO WS-%1$d. MOVE 'PGB%1$d' TO WS-%1$d.", "           MOVE UNKNOWN-ITEM TO WS-%1$d.", "           MOVE UNKNOWN-ITEM TO WS-%1$d.", "",
+        "", "           MOVE 'PGA%1$d' TO VIA.\n           MOVE VIA TO WS-%1$d.\n           MOVE 'PGB%1$d' TO WS-%1$d.", "           MOVE UNKNOWN-ITEM TO WS-%1$d.", "           MOVE UNKNOWN-ITEM TO WS-%1$d.", "",
         "           MOVE 'TOO-LONG-NAME' TO WS-%1$d.", "", "",
     ]
     shape = [d + "\n" + PROC + "       P1.\n" + c + "\n           CALL WS-%1$d USING X." for d, c in zip(data, code, strict=True)]
