@@ -91,7 +91,7 @@ def order_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = (
         F.when(F.col("o_orderstatus") == "F", F.lit("           ADD 1 TO T ON SIZE ERROR DISPLAY 'BIG' END-ADD."))
         .when(F.col("o_orderstatus") == "O", F.lit("           READ INFILE AT END MOVE 1 TO EOF NOT AT END\n              DISPLAY 'GOT' END-READ."))
-        .otherwise(F.lit("           EVALUATE X WHEN 1 WHEN 2 STOP RUN WHEN OTHER GOBACK END-EVALUATE."))
+        .otherwise(F.lit("           EVALUATE X WHEN 1 WHEN 2 STOP RUN\n              WHEN OTHER GOBACK END-EVALUATE."))
     )
     text = F.concat(area_a("P-%d.\n", "o_orderkey"), action, F.lit("\n"), nest)
     return members(o, bucket(F.col("o_orderkey"), 1000, "ORD"), F.col("o_orderkey"), text, head=ID + PROC).withColumn("format", F.lit("fixed"))
@@ -173,7 +173,7 @@ UNION ALL SELECT concat('K', c_custkey), NULL, true, 'MAX', 'C_ACCTBAL,C_BONUS'
 def select_into_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     text = card(
-        "EXEC SQL SELECT A.C_NAME AS N, MAX(A.C_ACCTBAL + C_BONUS)\n             INTO :H%1$d:I1, :K%1$d INDICATOR :I2 -- the targets, :NOT\n             FROM OWNER.CUSTOMER A WHERE C_ID = :ID%1$d END-EXEC.",
+        "EXEC SQL SELECT A.C_NAME AS N, MAX(A.C_ACCTBAL + C_BONUS)\n             INTO :H%1$d:I1,\n             :K%1$d INDICATOR :I2 -- the targets, :NOT\n             FROM OWNER.CUSTOMER A WHERE C_ID = :ID%1$d\n             END-EXEC.",
         "c_custkey",
     )
     programs = cobol.parsed(members(c, bucket(F.col("c_custkey"), 100, "C"), F.col("c_custkey"), text, head=ID + PROC).withColumn("format", F.lit("fixed")))

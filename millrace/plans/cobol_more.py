@@ -107,8 +107,8 @@ def alter(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sort_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     shapes = [
-        "SORT S-%1$d ON ASCENDING KEY K USING A-%1$d GIVING Z.", "SORT S-%1$d DESCENDING KEY K INPUT PROCEDURE I-%1$d THRU J\n           GIVING Z.",
-        "MERGE S-%1$d ASCENDING KEY K USING A-%1$d B-%1$d GIVING Z.",
+        "SORT S-%1$d ON ASCENDING KEY K\n             USING A-%1$d GIVING Z.", "SORT S-%1$d DESCENDING KEY K\n             INPUT PROCEDURE I-%1$d THRU J GIVING Z.",
+        "MERGE S-%1$d ASCENDING KEY K\n             USING A-%1$d B-%1$d GIVING Z.",
     ]
     found = cobol.statements(programs(spark, sf_dir, F.concat(area_a("P-%d.\n", K), by_kind(shapes)), ID + PROC)).filter("node = 'SortStmt'")
     return found.select("paragraph", "verb", attr("file"), listed("using", "inputs"), attr("input_proc"))
@@ -120,14 +120,14 @@ def sort_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
   concat('F-', c_custkey) AS file, CASE WHEN c_custkey % 5 = 0 THEN 'W' END AS into, CASE WHEN c_custkey % 5 IN (1, 2) THEN 'W' END AS origin FROM customer""",
 )
 def io_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shapes = ["READ F-%1$d NEXT RECORD INTO W.", "WRITE F-%1$d FROM W.", "REWRITE F-%1$d FROM W INVALID KEY DISPLAY 'X' END-REWRITE.", "DELETE F-%1$d RECORD.", "START F-%1$d KEY IS EQUAL K."]
+    shapes = ["READ F-%1$d NEXT RECORD INTO W.", "WRITE F-%1$d FROM W.", "REWRITE F-%1$d FROM W\n             INVALID KEY DISPLAY 'X' END-REWRITE.", "DELETE F-%1$d RECORD.", "START F-%1$d KEY IS EQUAL K."]
     found = cobol.statements(programs(spark, sf_dir, F.concat(area_a("P-%d.\n", K), by_kind(shapes)), ID + PROC)).filter("node = 'IoStmt'")
     return found.select("paragraph", "verb", attr("file"), attr("into"), attr("from_", "origin"))
 
 
 @REGISTRY.query("cobol_size_errors", "SELECT 'COMPUTE' AS verb, 'ON_SIZE_ERROR' AS handler, count(*)::BIGINT AS n FROM customer GROUP BY 1, 2")
 def size_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = stmts(spark, sf_dir, "COMPUTE X-%1$d = 1 + 2 ON SIZE ERROR DISPLAY 'E' END-COMPUTE.")
+    found = stmts(spark, sf_dir, "COMPUTE X-%1$d = 1 + 2", "  ON SIZE ERROR DISPLAY 'E' END-COMPUTE.")
     inner = found.filter("branch = 'inner'").select("member", "paragraph", "parent_id", "verb")
     caught = found.filter("branch LIKE 'ON%'").select("member", "paragraph", "parent_id", F.col("branch").alias("handler"))
     return inner.join(caught, ["member", "paragraph", "parent_id"]).groupBy("verb", "handler").agg(F.count("*").alias("n"))
@@ -138,7 +138,7 @@ def size_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT CASE WHEN c_custkey % 2 = 0 THEN concat('SUB', c_custkey) ELSE 'WS-PGM' END AS target, (c_custkey % 2 = 1)::VARCHAR AS dynamic, concat('A-', c_custkey, ',B') AS operands, 'R' AS returned FROM customer""",
 )
 def call_operands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(area_a("P-%d.\n", K), by_kind(["CALL 'SUB%1$d' USING A-%1$d BY CONTENT B RETURNING R.", "CALL WS-PGM USING A-%1$d B RETURNING R."]))
+    text = F.concat(area_a("P-%d.\n", K), by_kind(["CALL 'SUB%1$d' USING A-%1$d\n             BY CONTENT B RETURNING R.", "CALL WS-PGM USING A-%1$d B RETURNING R."]))
     found = cobol.statements(programs(spark, sf_dir, text, ID + PROC)).filter("node = 'CallStmt'")
     return found.select(attr("target"), attr("dynamic"), listed("using", "operands"), attr("returning", "returned"))
 
@@ -150,7 +150,7 @@ def call_operands(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def exec_cics(spark: SparkSession, sf_dir: str) -> DataFrame:
     shapes = [
-        "EXEC CICS LINK PROGRAM('PGM%1$d') COMMAREA(C) END-EXEC.", "EXEC CICS XCTL PROGRAM(WS-PGM) END-EXEC.", "EXEC CICS HANDLE CONDITION NOTFND(Q-%1$d) END-EXEC.",
+        "EXEC CICS LINK PROGRAM('PGM%1$d')\n             COMMAREA(C) END-EXEC.", "EXEC CICS XCTL PROGRAM(WS-PGM) END-EXEC.", "EXEC CICS HANDLE CONDITION NOTFND(Q-%1$d)\n             END-EXEC.",
         "EXEC CICS RETURN TRANSID('T%1$d') END-EXEC.",
     ]
     found = cobol.statements(programs(spark, sf_dir, F.concat(area_a("P-%d.\n", K), by_kind(shapes)), ID + PROC)).filter("node = 'ExecStmt'")
@@ -172,7 +172,7 @@ def sql_group_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer")
     text = F.concat(
         F.lit(DATA), F.format_string("       01 G%1$d.\n          05 G%1$d-A PIC X.\n          05 FILLER PIC X.\n          05 G%1$d-B PIC 9.\n", K), F.lit(PROC),
-        card("EXEC SQL INSERT INTO T (C_A, C_B) VALUES (:G%1$d) END-EXEC.", K),
+        card("EXEC SQL INSERT INTO T (C_A, C_B) VALUES (:G%1$d)\n             END-EXEC.", K),
     )
     parsed = cobol.parsed(rows.select(F.col(K).cast("string").alias("member"), text.alias("text"), F.lit("fixed").alias("format")))
     return cobol.exec_columns(parsed).select("host_var", F.col("column").alias("col"))
@@ -200,7 +200,7 @@ def sql_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("cobol_cursors", "SELECT concat('C', c_custkey) AS cursor, concat('OWN.T', c_custkey) AS tbl, 'A,B' AS columns, 'select' AS kind FROM customer")
 def cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.format_string("           EXEC SQL DECLARE C%1$d CURSOR WITH HOLD FOR\n             SELECT A, B FROM OWN.T%1$d WHERE K = :K END-EXEC.", K)
-    found = cobol.sql_cursors(programs(spark, sf_dir, text, DATA, PROC + "           GOBACK."))
+    found = cobol.sql_cursors(programs(spark, sf_dir, text, DATA, "\n" + PROC + "           GOBACK."))
     return found.select("cursor", F.col("table").alias("tbl"), F.array_join("columns", ",").alias("columns"), F.col("for_kind").alias("kind"))
 
 
@@ -209,8 +209,8 @@ def fetch_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a FETCH fills is what its cursor selects."""
     key = F.col("s_suppkey")
     text = F.concat(
-        F.lit(DATA), F.format_string("           EXEC SQL DECLARE C%1$d CURSOR FOR SELECT A, B FROM T END-EXEC.\n", key), F.lit(PROC),
-        F.format_string("           EXEC SQL FETCH NEXT FROM C%1$d INTO :H%1$d, :I%1$d END-EXEC.", key),
+        F.lit(DATA), F.format_string("           EXEC SQL DECLARE C%1$d CURSOR FOR\n             SELECT A, B FROM T END-EXEC.\n", key), F.lit(PROC),
+        F.format_string("           EXEC SQL FETCH NEXT FROM C%1$d\n             INTO :H%1$d, :I%1$d END-EXEC.", key),
     )
     parsed = one_each(spark, sf_dir, text)
     fetches = cobol.statements(parsed).filter("node = 'ExecStmt' AND verb = 'FETCH'").select("member", attr("cursor"), F.from_json(F.get_json_object("attrs", "$.into_vars"), "array<string>").alias("vars"))

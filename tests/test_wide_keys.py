@@ -5,6 +5,7 @@ import pytest
 
 from millrace.plans import catalog
 
+NAMES = ["cobol_call_resolution", "cobol_sort_merge", "cobol_io_statements"]
 TABLES = {"supplier": "s_suppkey", "customer": "c_custkey"}
 
 
@@ -19,7 +20,7 @@ def wide(request, tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["cobol_call_resolution"])
+@pytest.mark.parametrize("name", NAMES)
 def test_query_equals_its_sql_over_wide_keys(spark, wide, name):
     folder, con = wide
     df = catalog.REGISTRY.queries()[name](spark, folder)
