@@ -5,13 +5,17 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from functools import cache, partial
+from itertools import islice
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Rows that a worker makes before it hands them on.
+BATCH_ROWS = 4096
 
 
 def ship(spark: SparkSession) -> None:
@@ -48,6 +52,20 @@ def _lean(fn, batches):
         give_back()
 
 
+def pieces(rows: Iterator, size: int = BATCH_ROWS) -> Iterator[list]:
+    """``rows`` in lists of ``size`` at most, so that a worker never holds all that a task makes."""
+    rows = iter(rows)
+    while piece := list(islice(rows, size)):
+        yield piece
+
+
+def column_values(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """The rows of some columns of a batch; only one row at a time becomes Python objects."""
+    columns = [batch.column(name) for name in names]
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in columns)
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package on the workers."""
     ship(df.sparkSession)

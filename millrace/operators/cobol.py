@@ -23,14 +23,12 @@ from pyspark.sql.window import Window as W
 from millrace.functions import cobol_parse as cp
 from millrace.functions import cobol_rows as rows
 from millrace.functions import cobol_text as ct
-from millrace.functions.shipping import map_arrow
+from millrace.functions.shipping import column_values, map_arrow, pieces
 from millrace.operators.closure import reachable
-from millrace.sources.members import cobol_lines, member_key
+from millrace.sources.members import by_work, cobol_lines, member_key
 from millrace.sources.shared import cut
 
 PARSED = "member string, format string, source_name string, text string, program string, copybook_errors array<array<string>>"
-#: Source text that one parsing task takes: about ten seconds of Python.
-WORK_BYTES = 4 << 20
 HEADER = "(?iU)\\b(IDENTIFICATION|ENVIRONMENT|DATA|PROCEDURE)\\s+DIVISION\\b"
 
 
@@ -77,22 +75,12 @@ def with_format(members: DataFrame) -> DataFrame:
     return members.withColumn("format", detected(F.coalesce("text", F.lit("")))["format"])
 
 
-def by_work(rows_: DataFrame) -> DataFrame:
-    """``rows_`` (member, text and others) dealt by the text to read: left to the session, small rows of much work share few tasks."""
-    if rows_.isStreaming:  # a batch's size is not known beforehand
-        return rows_
-    n, total = rows_.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    tasks = max(-(-(total or 0) // WORK_BYTES), min(n, 2 * rows_.sparkSession.sparkContext.defaultParallelism), 1)
-    return rows_.repartition(tasks, "member")
-
-
 def _flat(make: Callable[..., Iterator[dict]], inputs: list[str], schema: T.StructType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fields = [(f.name, to_arrow_type(f.dataType)) for f in schema.fields]
-    for batch in batches:
-        out: list[dict] = []
-        for values in zip(*(batch.column(c).to_pylist() for c in inputs), strict=True):
-            out += [{"member": values[0]} | row for row in make(*values[1:])]
-        yield pa.RecordBatch.from_pylist(out, pa.schema(fields))
+    kept = pa.schema(fields)
+    made = ({"member": member} | row for batch in batches for member, *values in column_values(batch, *inputs) for row in make(*values))
+    for piece in pieces(made):
+        yield pa.RecordBatch.from_pylist(piece, kept)
 
 
 def flat(df: DataFrame, make: Callable[..., Iterator[dict]], inputs: list[str], schema: str) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Source text that one reading or parsing task takes: seconds of Python, and what a worker holds at a time.
+WORK_BYTES = 4 << 20
 #: Where COBOL text breaks, and where definition decks do (all that Unicode calls a line boundary).
 COBOL_BREAK = "\r\n|\r|\n"
 DECK_BREAK = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\u0085\u2028\u2029]"
@@ -48,6 +50,15 @@ def deck_lines(text: Column) -> Column:
     return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
 
 
+def by_work(rows: DataFrame) -> DataFrame:
+    """``rows`` (member, text and others) dealt by the text to read: left to the session, small rows of much work share few tasks."""
+    if rows.isStreaming:  # a batch's size is not known beforehand
+        return rows_
+    n, total = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    tasks = max(-(-(total or 0) // WORK_BYTES), min(n, 2 * rows.sparkSession.sparkContext.defaultParallelism), 1)
+    return rows.repartition(tasks, "member")
+
+
 def canonical_type(name: Column) -> Column:
     """The one spelling of a member type; unknown ones are only trimmed and lower case, blank ones null."""
     low = F.lower(F.trim(name))
