@@ -42,7 +42,7 @@ def paragraph_rows(program: dict) -> Iterator[dict]:
         yield {"unit": u, "region": region, "para": i} | {k: v for k, v in p.items() if k not in ("t", "statements")}
 
 
-def statement_rows(program: dict) -> Iterator[dict]:
+def statement_rows(program: dict, with_attrs: bool = True) -> Iterator[dict]:
     """Every statement as often as it is walked; ``path`` sorts them in that order and a body's paths begin with its statement's."""
 
     def rows(body: list[dict], prefix: str, parent: int | None, branch: str | None, condition: str | None) -> Iterator[dict]:
@@ -50,13 +50,14 @@ def statement_rows(program: dict) -> Iterator[dict]:
         for i, s in enumerate(body):
             own, n = n, n + 1
             path = f"{prefix}{i:04d}"
-            attrs = {k: v for k, v in s.items() if k not in OWN_FIELDS}
+            attrs = json.dumps({k: v for k, v in s.items() if k not in OWN_FIELDS}) if with_attrs else None
             yield {
                 "stmt_id": own, "parent_id": parent, "branch": branch, "condition": condition, "ord": i, "path": path, "node": s["t"],
-                "line": s["line"], "origin": s["origin"], "verb": s.get("verb"), "text": s.get("text"), "attrs": json.dumps(attrs),
+                "line": s["line"], "origin": s["origin"], "verb": s.get("verb"), "text": s.get("text"), "attrs": attrs,
             }
-            for name, what, inner in cp.bodies(s):
-                yield from rows(inner, f"{path}.{name}.", own, name, what)
+            if s["t"] in cp.BODIES:
+                for name, what, inner in cp.bodies(s):
+                    yield from rows(inner, f"{path}.{name}.", own, name, what)
 
     for u, region, i, p in regions(program):
         n = 0

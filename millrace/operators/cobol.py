@@ -29,6 +29,8 @@ from millrace.sources.members import by_work, cobol_lines, member_key
 from millrace.sources.shared import cut
 
 PARSED = "member string, format string, source_name string, text string, program string, copybook_errors array<array<string>>"
+#: What a program is parsed from.
+UNPARSED = ["text", "format", "books", "failed"]
 HEADER = "(?iU)\\b(IDENTIFICATION|ENVIRONMENT|DATA|PROCEDURE)\\s+DIVISION\\b"
 
 
@@ -78,14 +80,25 @@ def with_format(members: DataFrame) -> DataFrame:
 def _flat(make: Callable[..., Iterator[dict]], inputs: list[str], schema: T.StructType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fields = [(f.name, to_arrow_type(f.dataType)) for f in schema.fields]
     kept = pa.schema(fields)
-    made = ({"member": member} | row for batch in batches for member, *values in column_values(batch, *inputs) for row in make(*values))
-    for piece in pieces(made):
-        yield pa.RecordBatch.from_pylist(piece, kept)
+    names = kept.names[1:] if kept.names[:1] == ["member"] else kept.names
 
+    def read() -> Iterator[tuple]:
+        for batch in batches:
+            for member, *values in column_values(batch, *inputs):
+                own = (member,) if len(names) < len(kept) else ()
+                for row in make(*values):
+                    yield *own, *map(row.get, names)
 
-def flat(df: DataFrame, make: Callable[..., Iterator[dict]], inputs: list[str], schema: str) -> DataFrame:
-    """Rows ``make(*inputs)`` of each row of ``df``, with its member."""
+    for piece in pieces(read()):
+        columns = zip(*piece, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kept, strict=True)], schema=kept)
+
+
+def flat(df: DataFrame, make: Callable[..., Iterator[dict]], inputs: list[str], schema: str, columns: list[str] | None = None) -> DataFrame:
+    """Rows ``make(*inputs)`` of each row of ``df``, with its member; only ``columns`` of them, if they are given."""
     made = T.StructType.fromDDL("member string, " + schema)
+    if columns is not None:
+        made = T.StructType([f for f in made.fields if f.name in columns])
     return map_arrow(df.select("member", *inputs), partial(_flat, make, ["member", *inputs], made), made)
 
 
@@ -151,19 +164,22 @@ def _by_program(first: DataFrame, edges: DataFrame) -> DataFrame:
     return first.join(reach, "root").groupBy("member", F.col("node").alias("copy_member")).agg((F.min("depth") + 1).alias("depth"))
 
 
+def _program(text: str | None, fmt: str, books: list[dict] | None, errors: dict[str, str]) -> dict:
+    library = {b["name"]: (b["text"], b["source"]) for b in books or ()}
+    return cp.program(text or "", fmt == "fixed", library.get, errors)
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch a member: trees are several times their text."""
     for batch in batches:
-        parsed, failures = [], []
-        for text, fmt, books, failed in zip(*(batch.column(c).to_pylist() for c in ("text", "format", "books", "failed")), strict=True):
-            library = {b["name"]: (b["text"], b["source"]) for b in books or ()}
+        for i, (text, fmt, books, failed) in enumerate(column_values(batch, *UNPARSED)):
             errors = {x["name"]: x["error"] for x in failed or ()}
-            made = cp.program(text or "", fmt == "fixed", library.get, errors)
+            made = _program(text, fmt, books, errors)
             missing = dict.fromkeys(x["member"] for x in made["copybooks"] if x["status"] == "missing")
-            parsed.append(json.dumps(made))
-            failures.append([[x, errors[x]] for x in missing if x in errors])
-        kept = [batch.column(c) for c in ("member", "format", "source_name", "text")]
-        arrays = [*kept, pa.array(parsed, pa.string()), pa.array(failures, pa.list_(pa.list_(pa.string())))]
-        yield pa.RecordBatch.from_arrays(arrays, ["member", "format", "source_name", "text", "program", "copybook_errors"])
+            kept = [batch.column(c).slice(i, 1) for c in ("member", "format", "source_name", "text")]
+            failures = [[x, errors[x]] for x in missing if x in errors]
+            arrays = [*kept, pa.array([json.dumps(made)], pa.string()), pa.array([failures], pa.list_(pa.list_(pa.string())))]
+            yield pa.RecordBatch.from_arrays(arrays, ["member", "format", "source_name", "text", "program", "copybook_errors"])
 
 
 def parsed(members: DataFrame, library: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
@@ -193,7 +209,9 @@ def parsed(members: DataFrame, library: DataFrame | None = None, errors: DataFra
             failed = closure.filter("status = 'missing'").join(known, "copy_member")
             failed = failed.groupBy("member").agg(F.sort_array(F.collect_list(F.struct(F.col("copy_member").alias("name"), "error"))).alias("failed"))
             rows_ = rows_.drop("failed").join(failed, "member", "left")
-    return map_arrow(rows_.select("member", "format", "source_name", "text", "books", "failed"), _parse, PARSED)
+    out = map_arrow(rows_.select("member", "format", "source_name", "text", "books", "failed"), _parse, PARSED)
+    out.unparsed = rows_  # one table alone is read off the tree where it is made, see ``_table``
+    return out
 
 
 def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,8 +245,16 @@ def _of_program(make: Callable[[dict], Iterator[dict]], text: str) -> Iterator[d
     return make(json.loads(text))
 
 
-def _table(programs: DataFrame, make: Callable[[dict], Iterator[dict]], schema: str) -> DataFrame:
-    return flat(programs, partial(_of_program, make), ["program"], schema)
+def _of_source(make: Callable[[dict], Iterator[dict]], text: str | None, fmt: str, books: list[dict] | None, failed: list[dict] | None) -> Iterator[dict]:
+    return make(_program(text, fmt, books, {x["name"]: x["error"] for x in failed or ()}))
+
+
+def _table(programs: DataFrame, make: Callable[[dict], Iterator[dict]], schema: str, columns: list[str] | None = None) -> DataFrame:
+    """A flat table, all of its columns or some. What ``parsed`` returned, as it is, is not written as JSON to be read again."""
+    source = getattr(programs, "unparsed", None)
+    if source is None:
+        return flat(programs, partial(_of_program, make), ["program"], schema, columns)
+    return flat(source, partial(_of_source, make), UNPARSED, schema, columns)
 
 
 def program_units(programs: DataFrame) -> DataFrame:
@@ -239,14 +265,15 @@ def program_units(programs: DataFrame) -> DataFrame:
     return _table(programs, make, "unit int, program_id string, program_id_line int, has_procedure_division boolean, using array<string>, returning string, notes array<string>, nested_programs array<string>")
 
 
-def paragraphs(programs: DataFrame) -> DataFrame:
-    return _table(programs, rows.paragraph_rows, "unit int, region string, para int, name string, line int, section string, is_section boolean, bare_name string, origin string, parse_error string, use_trigger string, use_files array<string>")
+def paragraphs(programs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    return _table(programs, rows.paragraph_rows, "unit int, region string, para int, name string, line int, section string, is_section boolean, bare_name string, origin string, parse_error string, use_trigger string, use_files array<string>", columns)
 
 
-def statements(programs: DataFrame) -> DataFrame:
+def statements(programs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return _table(
-        programs, rows.statement_rows,
+        programs, partial(rows.statement_rows, with_attrs=columns is None or "attrs" in columns),
         "unit int, region string, para int, paragraph string, stmt_id int, parent_id int, branch string, condition string, ord int, path string, node string, line int, origin string, verb string, text string, attrs string",
+        columns,
     )
 
 
