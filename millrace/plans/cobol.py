@@ -99,7 +99,7 @@ def order_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("cobol_paragraph_headers", "SELECT concat('P-', o_orderkey) AS name, floor(o_orderkey / 1000)::BIGINT AS program FROM orders")
 def paragraph_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cobol.paragraphs(cobol.parsed(order_programs(spark, sf_dir)))
+    found = cobol.paragraphs(cobol.parsed(order_programs(spark, sf_dir)), ["member", "name"])
     return found.select("name", F.substring("member", 4, 20).cast("long").alias("program"))
 
 
