@@ -127,7 +127,7 @@ def nested_if_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("cobol_end_handlers", "SELECT branch, count(*)::BIGINT AS n FROM orders, (VALUES ('AT_END'), ('NOT_AT_END')) AS b(branch) WHERE o_orderstatus = 'O' GROUP BY 1")
 def end_handlers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cobol.statements(cobol.parsed(order_programs(spark, sf_dir))).filter("branch LIKE '%AT_END'")
+    found = cobol.statements(cobol.parsed(order_programs(spark, sf_dir)), ["branch"]).filter("branch LIKE '%AT_END'")
     return found.groupBy("branch").agg(F.count("*").alias("n"))
 
 
