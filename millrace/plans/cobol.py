@@ -120,7 +120,7 @@ def statements_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("cobol_nested_if_depth", "SELECT concat('P-', o_orderkey) AS paragraph, (o_custkey % 4)::BIGINT AS depth FROM orders WHERE o_custkey % 4 > 0")
 def nested_if_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cobol.statements(cobol.parsed(order_programs(spark, sf_dir))).filter("node = 'IfStmt'")
+    found = cobol.statements(cobol.parsed(order_programs(spark, sf_dir)), ["paragraph", "path", "node"]).filter("node = 'IfStmt'")
     depth = F.size(F.split("path", "\\.then\\."))
     return found.groupBy("paragraph").agg(F.max(depth).cast("long").alias("depth"))
 
