@@ -114,7 +114,7 @@ SELECT node, sum(n)::BIGINT AS statements FROM (
 GROUP BY node HAVING sum(n) > 0""",
 )
 def statements_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cobol.statements(cobol.parsed(order_programs(spark, sf_dir)))
+    found = cobol.statements(cobol.parsed(order_programs(spark, sf_dir)), ["node"])
     return found.groupBy("node").agg(F.count("*").alias("statements"))
 
 
