@@ -53,7 +53,7 @@ def deck_lines(text: Column) -> Column:
 def by_work(rows: DataFrame) -> DataFrame:
     """``rows`` (member, text and others) dealt by the text to read: left to the session, small rows of much work share few tasks."""
     if rows.isStreaming:  # a batch's size is not known beforehand
-        return rows_
+        return rows
     n, total = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     tasks = max(-(-(total or 0) // WORK_BYTES), min(n, 2 * rows.sparkSession.sparkContext.defaultParallelism), 1)
     return rows.repartition(tasks, "member")
